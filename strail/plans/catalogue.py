@@ -1,4 +1,374 @@
-"""The query catalogue."""
+"""The query catalogue: one entry for each operator over the driver's tables, with its SQL twin in oracle.py."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strail.functions import geometry as G
+from strail.functions import hilbert as H
+from strail.functions import idset as S
+from strail.operators import index as I
+from strail.operators import joins as J
+from strail.operators import layout as L
+from strail.operators import prune as P
+from strail.operators import query as Q
+from strail.operators import stats as K
+from strail.plans.oracle import AREAS, FLAGSHIP, FOUR, ORACLE_SQL, TWO
+from strail.schema import IndexConfig
+from strail.sources import units as U
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.units_from_events(_read(spark, sf_dir, "events"))
+
+
+def steps(spec: list, spark: SparkSession, sf_dir: str) -> list[Q.SimpleQuery]:
+    """Steps with label names resolved by the dictionary (a few rows)."""
+    ids = {r["name"]: r["label_id"] for r in U.label_dictionary(U.event_points(_read(spark, sf_dir, "events")), "name", ["t", "event_id"]).collect()}
+    return [Q.SimpleQuery(G.Box(*box), frozenset(ids[n] for n in names)) for box, names in spec]
+
+
+def doubles(df: DataFrame) -> DataFrame:
+    return df.select([F.col(c).cast("double").alias(c) if t == "float" else F.col(c) for c, t in df.dtypes])
+
+
+def _sequence(spec: list, run: Callable = Q.find) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return doubles(run(units(spark, sf_dir), steps(spec, spark, sf_dir)))
+
+    return query
+
+
+def units_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(U.units_from_orders(_read(spark, sf_dir, "orders")))
+
+
+def label_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.label_dictionary(U.event_points(_read(spark, sf_dir, "events")), "name", ["t", "event_id"])
+
+
+def dictionary_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), "o_orderkey")
+    return U.extend_dictionary(label_dictionary(spark, sf_dir), more, "name", ["o_orderkey"])
+
+
+def dictionary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.dictionary_json(label_dictionary(spark, sf_dir))
+
+
+def unit_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = units(spark, sf_dir).select("*", *G.unit_mbb(), *G.unit_center())
+    return doubles(u.select("trajectory_id", "unit_index", *G.MIN_MAX, "xc", "yc", "tc", G.volume().alias("volume"), G.is_empty().alias("is_empty")))
+
+
+def box_extend_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("trajectory_id").orderBy("unit_index")
+    boxes = units(spark, sf_dir).select("trajectory_id", "unit_index", *G.unit_mbb("a_"))
+    pair = boxes.select("*", *[F.lead(f"a_{c}").over(w).alias(f"b_{c}") for c in G.MIN_MAX]).where("b_tmin is not null")
+    rows = pair.select("trajectory_id", "unit_index", *G.union_box("a_", "b_", "u_"), *G.intersection_box("a_", "b_", "i_"), G.boxes_intersect("a_", "b_").alias("meet"), G.box_contains("a_", "b_").alias("holds"))
+    return doubles(rows)
+
+
+def simple_box_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(Q.simple(units(spark, sf_dir), steps(FLAGSHIP[:1], spark, sf_dir)[0]))
+
+
+def simple_box_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(Q.simple(units(spark, sf_dir), Q.SimpleQuery(G.Box(*AREAS["center"]))))
+
+
+def mbb_vs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = G.Box(*AREAS["center"])
+    rows = units(spark, sf_dir).where(G.unit_mbb_meets(box)).select(G.segment_hits(box).alias("hit"))
+    return rows.agg(F.count(F.lit(1)).alias("by_box"), F.sum(F.col("hit").cast("long")).alias("exact"), F.sum((~F.col("hit")).cast("long")).alias("false_positive"))
+
+
+def interval_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, e, lo, hi = F.col("t0"), F.col("t1"), F.lit(1704500000), F.lit(1705500000)
+    return units(spark, sf_dir).select("trajectory_id", "unit_index", G.interval_contains(lo, hi, b).alias("has_begin"), G.interval_overlaps(b, e, lo, hi).alias("overlaps"), G.interval_distance(lo, hi, b).cast("long").alias("distance"))
+
+
+def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("l_discount")
+    item = _read(spark, sf_dir, "lineitem")
+    label = U.route_label(F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_returnflag")), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.col("l_linestatus")))
+    return item.select("l_orderkey", "l_linenumber", G.div0(F.col("l_quantity"), x).alias("div0"), G.inverse(x).alias("inverse"), U.step_seconds(x * 50).alias("seconds"), label.alias("label"))
+
+
+def sequenced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.counts(Q.find(units(spark, sf_dir), steps(FLAGSHIP, spark, sf_dir)))
+
+
+def selectivity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.selectivity(units(spark, sf_dir), {"two": steps(TWO, spark, sf_dir), "three": steps(FLAGSHIP, spark, sf_dir), "four": steps(FOUR, spark, sf_dir)})
+
+
+def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.as_text(Q.find(units(spark, sf_dir), steps(FLAGSHIP, spark, sf_dir)))
+
+
+def _activities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = U.event_points(_read(spark, sf_dir, "events"))
+    acts = p.where("name = 'click'").select(F.col("trajectory_id"), F.col("event_id").alias("line"), F.col("t").alias("begin"), (F.col("t") + 7200 * (F.col("event_id") % 9)).alias("end"), F.concat(F.lit("trip"), (F.col("event_id") % 4).cast("string")).alias("name"))
+    return p.where("name <> 'click'").select("trajectory_id", "event_id", "t", "x", "y"), acts
+
+
+def activity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, acts = _activities(spark, sf_dir)
+    return doubles(J.label_points(points, acts, "trajectory_id", ["event_id"]))
+
+
+def activity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, acts = _activities(spark, sf_dir)
+    return doubles(J.runs_to_units(J.label_points(points, acts, "trajectory_id", ["event_id"]), ["event_id"]))
+
+
+def split_long_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds are counted in hours here, so that the events' long gaps give a handful of pieces each."""
+    u = units(spark, sf_dir).withColumns({"t0": F.expr("t0 DIV 3600"), "t1": F.expr("t1 DIV 3600")})
+    return doubles(U.split_long_units(u))
+
+
+def route_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = _read(spark, sf_dir, "lineitem")
+    rows = item.select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").alias("step"), F.col("l_extendedprice").cast("float").alias("x"), F.col("l_quantity").cast("float").alias("y"), (F.col("l_discount") * 1000).alias("duration"), F.col("l_returnflag").alias("name"))
+    return doubles(U.units_from_routes(rows))
+
+
+def city_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.ordered_pairs(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("name")))
+
+
+def id_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.remap_ids(units(spark, sf_dir)).select("trajectory_id", "unit_index", "t0")
+
+
+def slice_offset_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(U.offset_limit(units(spark, sf_dir), 100, 250))
+
+
+def _str(mode: str) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return L.str_layout(units(spark, sf_dir), mode).select("trajectory_id", "unit_index", "leaf_id")
+
+    return query
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.str_layout(units(spark, sf_dir), "lf")
+
+
+def leaf_mbb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(I.leaf_boxes(_laid(spark, sf_dir)))
+
+
+def _ids_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("ids", F.array_join("ids", ",")).withColumn("label_id", F.coalesce("label_id", F.lit(-1).cast("long")))
+
+
+def leaf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids_text(I.leaf_summary(_laid(spark, sf_dir)))
+
+
+def internal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids_text(I.internal_summary(I.leaf_summary(_laid(spark, sf_dir)), 16))
+
+
+def internal_mbb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(I.internal_boxes(I.leaf_boxes(_laid(spark, sf_dir)), 16))
+
+
+def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.histogram(_laid(spark, sf_dir))
+
+
+def _index(spark: SparkSession, sf_dir: str, **options) -> I.Index:
+    return I.build(units(spark, sf_dir), IndexConfig(**{"layout": "str_lf", "internal_fanout": 16, "id_set": "exact", **options}))
+
+
+def matching_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _index(spark, sf_dir)
+    return I.matching_children(x.postings, x.nodes, 0, {1, 2}).withColumn("ids", F.array_join("ids", ","))
+
+
+def query_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _index(spark, sf_dir)
+    rows = [(i, w.begin, w.end) for i, w in enumerate(P.time_windows(x, steps(FLAGSHIP, spark, sf_dir)))]
+    return spark.createDataFrame(rows, "step int, tmin long, tmax long")
+
+
+def trim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _index(spark, sf_dir)
+    rows = [(i, w.begin, w.end) for i, w in enumerate(P.trim_windows(P.time_windows(x, steps(FLAGSHIP, spark, sf_dir))) or [])]
+    return spark.createDataFrame(rows, "step int, tmin long, tmax long")
+
+
+def shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.shared_ids(_index(spark, sf_dir), steps(FLAGSHIP, spark, sf_dir))
+
+
+def _pruned(layout: str, **options) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return doubles(P.find_pruned(_index(spark, sf_dir, layout=layout, **options), steps(FLAGSHIP, spark, sf_dir), monotone=True))
+
+    return query
+
+
+def _label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units(spark, sf_dir).where("unit_index % 7 = 0").select("label_id", F.col("trajectory_id").alias("id"))
+
+
+def interval_set_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.ids_to_intervals(_label_ids(spark, sf_dir), ["label_id"], 8)
+
+
+def interval_set_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.trim_intervals(_spans(spark, sf_dir), ["k"], 5)
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disjoint intervals of customers for each segment."""
+    c = _read(spark, sf_dir, "customer")
+    return c.where("c_custkey % 3 <> 0").select(F.col("c_mktsegment").alias("k"), F.col("c_custkey").alias("begin"), (F.col("c_custkey") + F.col("c_nationkey") % 2).alias("end")).where("begin % 4 = 1")
+
+
+def interval_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "part").select((F.col("p_size") % 5).cast("long").alias("k"), (F.col("p_partkey") * 3).alias("begin"), (F.col("p_partkey") * 3 + F.col("p_size")).alias("end"))
+    return S.union_intervals(s, ["k"])
+
+
+def interval_set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    a = p.select(F.lit(1).alias("k"), F.lit("a").alias("s"), (F.col("p_partkey") * 10).alias("begin"), (F.col("p_partkey") * 10 + F.col("p_size") % 9).alias("end"))
+    b = p.select(F.lit(1).alias("k"), F.lit("b").alias("s"), (F.col("p_partkey") * 10 + 3).alias("begin"), (F.col("p_partkey") * 10 + 3 + F.col("p_size") % 6).alias("end"))
+    return S.intersect_intervals(a.union(b), ["k"], "s", 2).drop("k")
+
+
+def k_smallest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("k").orderBy("begin")
+    gaps = _spans(spark, sf_dir).select("k", "begin", (F.lead("begin").over(w) - F.col("end")).alias("gap")).where("gap is not null")
+    return gaps.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("gap", "begin"))).where("r <= 4").withColumn("r", F.col("r").cast("long"))
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One unit of each trajectory, and the leaves' boxes and histograms it is tried against."""
+    return units(spark, sf_dir).where("unit_index = 0 and trajectory_id % 5 = 0").select("trajectory_id", "label_id", *G.unit_mbb("u_"))
+
+
+def spatial_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each probe and leaf of the first 16: enlargement over the largest enlargement."""
+    leaves = I.leaf_boxes(_laid(spark, sf_dir)).where("node_id < 16")
+    pair = _probe(spark, sf_dir).join(F.broadcast(leaves.select("node_id", *[F.col(c).alias(f"n_{c}") for c in G.MIN_MAX])), F.col("node_id") >= 0)  # 16 rows
+    grown = pair.select("trajectory_id", "node_id", G.volume("n_").alias("size"), *G.union_box("u_", "n_", "g_")).withColumn("enlargement", G.volume("g_") - F.col("size"))
+    top = F.max("enlargement").over(Window.partitionBy("trajectory_id"))
+    return grown.select("trajectory_id", "node_id", "size", (F.col("enlargement") * G.inverse(top)).alias("spatial"))
+
+
+def textual_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = I.histogram(_laid(spark, sf_dir)).where("node_id < 16")
+    total = hist.groupBy("node_id").agg(F.sum("count").alias("total"))
+    pair = _probe(spark, sf_dir).select("trajectory_id", "label_id").join(F.broadcast(total), F.col("node_id") >= 0)  # 16 rows
+    own = pair.join(hist, ["node_id", "label_id"], "left")
+    cost = F.when(F.col("count").isNull(), F.lit(1.0)).otherwise(1 - (F.lit(1) + F.col("count")) / (F.lit(1) + F.col("total")))
+    return own.select("trajectory_id", "node_id", cost.alias("textual"))
+
+
+def choose_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = spatial_cost(spark, sf_dir).join(textual_cost(spark, sf_dir), ["trajectory_id", "node_id"]).withColumn("cost", 0.5 * F.col("spatial") + 0.5 * F.col("textual"))
+    return both.groupBy("trajectory_id").agg(F.min_by("node_id", F.struct("cost", "size", "node_id")).alias("node_id"))
+
+
+def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.tree_stats(_index(spark, sf_dir)).select("leaf_utilization", "internal_index_size", "internal_list_size", "entry_count", "leaf_nodes", "internal_nodes", "height")
+
+
+def tree_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = K.tree_stats(_index(spark, sf_dir))
+    return doubles(s.withColumns({c: F.to_json(c) for c in ("internal_index_size_level", "internal_area_ratio_level")}))
+
+
+def union_area_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of the union of each label's boxes of integer corners, by slabs."""
+    rows = _read(spark, sf_dir, "part").select((F.col("p_size") % 7).cast("long").alias("k"), (F.col("p_partkey") % 97).alias("xmin"), (F.col("p_partkey") % 89).alias("ymin"), (F.col("p_partkey") % 97 + F.col("p_size") % 11).alias("xmax"), (F.col("p_partkey") % 89 + F.col("p_size") % 13).alias("ymax"))
+    import numpy as np
+    import pandas as pd
+
+    from strail.functions.klee import union_measure
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates()  # corners are below 110, so a group has a bounded number of distinct boxes
+        return pd.DataFrame({"k": [key[0]], "area": [union_measure(pdf[["xmin", "ymin"]].to_numpy(np.float64), pdf[["xmax", "ymax"]].to_numpy(np.float64))]})
+
+    return rows.distinct().groupBy("k").applyInPandas(run, "k long, area double")
+
+
+def hilbert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.with_hilbert(units(spark, sf_dir)).select("trajectory_id", "unit_index", "h")
+
+
+def hilbert_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    del sf_dir
+    return H.curve(spark, 3, 3)
+
+
+def _layout(name: str) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return L.apply_layout(units(spark, sf_dir), name).select("trajectory_id", "unit_index", "leaf_id")
+
+    return query
+
+
+def bloom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each label and trajectory: whether the label's Bloom filter holds it, and whether it is there; hits never miss."""
+    bits = S.bloom_bits(40)
+    rows = _label_ids(spark, sf_dir)
+    filters = S.bloom_filters(rows, ["label_id"], bits)
+    pairs = rows.distinct().join(filters, "label_id")
+    return pairs.select("label_id", "id", S.bloom_may_contain(F.col("filter"), F.col("id"), bits).alias("held"))
+
+
+def random_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    del sf_dir
+    return U.random_walk(spark, 5000, per_trajectory=100, labels=10)
+
+
+def demo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    del sf_dir
+    return U.demo_points(spark, 2000, skewed=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "units_from_events": lambda s, d: doubles(units(s, d)),
+    "sequenced_2": _sequence(TWO),
+    "sequenced_3": _sequence(FLAGSHIP),
+    "sequenced_4": _sequence(FOUR),
+    "sequenced_3_by_joins": _sequence(FLAGSHIP, Q.find_by_joins),
+    "sequenced_empty": _sequence([FLAGSHIP[0], ((0, 0, 0, 0, 0, 1), ["error"])]),
+    "str_plain": _str("plain"),
+    "str_lf": _str("lf"),
+    "str_ll": _str("ll"),
+    "pruned_equals_full": _pruned("str_lf"),
+    "pruned_hilbert": _pruned("hilbert"),
+    "pruned_interval_ids": _pruned("str_ll", id_set="interval"),
+    "hilbert_leaves": _layout("hilbert"),
+    "obo_leaves": _layout("obo"),
+    "quickload_leaves": _layout("quickload"),
+    **{
+        f.__name__: f
+        for f in (
+            units_from_orders, label_dictionary, dictionary_extend, dictionary_json, unit_geometry, box_extend_intersect, simple_box_label, simple_box_any, mbb_vs_exact, interval_predicates, scalar_helpers,
+            sequenced_counts, selectivity_report, match_text, activity_join, activity_runs, split_long_units, route_accumulate, city_pairs, id_remap, slice_offset_limit, leaf_mbb, leaf_summary,
+            internal_summary, internal_mbb, label_histogram, matching_children, query_time_window, trim_windows, shared_ids, interval_set_build, interval_set_trim, interval_set_union,
+            interval_set_intersect, k_smallest_gap, spatial_cost, textual_cost, choose_child, tree_stats, tree_stats_full, union_area_2d, hilbert_index, hilbert_curve, bloom_roundtrip, random_walk, demo_points,
+        )
+    },
+}
