@@ -150,7 +150,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = found.where(F.col("__id").eqNullSafe(F.col("component_id")))
     ids = materialize(found.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")), "kept")
     same = F.col(id_col).eqNullSafe(F.col("__id"))
-    once = docs.join(ids.where("__n = 1 or __id is null").select("__id"), same, "left_semi")
+    once = docs.join(ids.where("__n = 1 or __id is null").select("__id").hint("merge"), same, "left_semi")  # ids grow with the corpus
     twice = ids.where("__n > 1 and __id is not null").select("__id")
     if twice.isEmpty():
         return once

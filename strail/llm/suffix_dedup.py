@@ -12,6 +12,8 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
    full symbols must be in a repeated window (length - 2 * 64 bytes). Borders that are never set hold together
    the suffixes that may start equal windows; among those, windows are compared whole by 128-bit hashes.
 
+What is joined grows with the corpus, so joins are sort-merge joins at every size (AQE splits skewed keys).
+
 An anchor with more than HOT distinct segments (a passage whose surroundings differ in thousands of documents) would
 not fit one task; its windows are counted one by one in a partial aggregation instead, which is exact too.
 """
@@ -235,7 +237,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     every = materialize(texts.mapInArrow(scan, f"id {kind}, key long, h long, g1 long, g2 long, start int, n int"), "segments")
     again = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "anchors")
-    found = materialize(every.join(again, "h", "left_semi"), "found")
+    found = materialize(every.join(again.hint("merge"), "h", "left_semi"), "found")
     discard(every)
     discard(again)
     _release(spark)
@@ -258,7 +260,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
-    joined = texts.join(asked.withColumnsRenamed({"id": "i", "key": "k"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+    joined = texts.join(asked.withColumnsRenamed({"id": "i", "key": "k"}).hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
     content = joined.select("id", "key", "text", "asked").mapInArrow(cut, f"id {kind}, key long, h long, c long, hot boolean, start int, n int, content binary")
     content = materialize(content, "content")
     discard(classes)
@@ -305,7 +307,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sign = lambda df, s: df.select("id", "key", F.struct("start", "n", F.lit(s).alias("sign")).alias("run"))
     runs = sign(found, 1).union(sign(single, -1)).groupBy("id", "key").agg(F.collect_list("run").alias("__runs"))
     runs = runs.withColumnsRenamed({"id": "__i", "key": "__k"})
-    return source.join(runs, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left").drop("__i", "__k", "__key")
+    return source.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left").drop("__i", "__k", "__key")
 
 
 def spans_of(size: int, runs: list[dict] | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
