@@ -23,7 +23,7 @@ WORDS = 20_000  # words with a context vector
 HIDDEN = 24
 PER_CLASS = 2000  # labelled documents of each class that are learned from, at most
 EPOCHS, BATCH = 60, 64
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 GROUP = 200  # documents whose new words are looked up together
 
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
@@ -81,17 +81,16 @@ class Model:
         if len(set(y.tolist())) < 2:
             model.b2 = -4.0 if len(y) and y[0] == 0 else 4.0
             return model
-        docs = [_tokens(t) for t in texts]
         count: Counter = Counter()
-        for d in docs:
-            count.update(d)
+        for t in texts:
+            count.update(_tokens(t))
         known = [w for w, n in sorted(count.items(), key=lambda x: (-x[1], x[0])) if n > 1][:WORDS]
         place = {w: i for i, w in enumerate(known)}
         base = index_vectors(known)
         padded = np.vstack([base, np.zeros((1, DIM), np.float32)])
         total = np.zeros_like(padded)
-        for d in docs:
-            ids = np.array([place.get(w, len(known)) for w in d], np.int64)
+        for t in texts:
+            ids = np.array([place.get(w, len(known)) for w in _tokens(t)], np.int64)
             for k in range(1, NEAR + 1):
                 np.add.at(total, ids[k:], padded[ids[:-k]])
                 np.add.at(total, ids[:-k], padded[ids[k:]])
@@ -135,9 +134,8 @@ class Scorer:
 
     def features(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), 2 * DIM + 2), np.float32)
-        counts = [Counter(_tokens(t)) for t in texts]
         for i in range(0, len(texts), GROUP):
-            group = counts[i : i + GROUP]
+            group = [Counter(_tokens(t)) for t in texts[i : i + GROUP]]
             new = list(dict.fromkeys(w for c in group for w in c if w not in self.place))
             if len(self.place) + len(new) > REMEMBERED:
                 self.place, self.table, new = {}, self.table[:0], list(dict.fromkeys(w for c in group for w in c))
