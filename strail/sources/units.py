@@ -85,7 +85,7 @@ def units_from_orders(orders: DataFrame) -> DataFrame:
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """GPS logs (six header lines; lat, lon, three ignored fields, date, time): (path, line, lat, lon, t); bad lines raise."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     lines = lines.where("line >= 6 and trim(text) <> ''")
     p = F.split("text", ",")
     strict = r"^\s*-?\d+(\.\d+)?\s*,\s*-?\d+(\.\d+)?\s*,[^,]*,[^,]*,[^,]*,\s*\d{4}-\d{2}-\d{2}\s*,\s*\d{2}:\d{2}:\d{2}\s*$"
@@ -97,7 +97,7 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 def read_activities(spark: SparkSession, path: str) -> DataFrame:
     """Activity logs (one header line; begin, end inclusive, mode): (path, line, begin, end, name); bad lines raise."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     lines = lines.where("line >= 1 and trim(text) <> ''")
     pattern = r"^\s*(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})\s+(\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})\s+([A-Za-z0-9]+)\s*$"
     bad = F.raise_error(F.concat(F.lit("Expected an activity in line "), (F.col("line") + 1).cast("string")))
