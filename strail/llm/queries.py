@@ -76,5 +76,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_embedding_dedup, op4_byte_bpe, op5_suffix_dedup, op6_simhash_dedup, op7_language_id, op8_decontaminate, op9_token_records, op10_quality)
 }
 
-#: Vectors in DuckDB SQL by brute force would need all pairs; turns need no model, so this one can be said in SQL.
-ORACLE_SQL: dict[str, str] = {}
+_TEMPLATE = chat.Template()
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, {_quoted(_TEMPLATE.escape)}, {_quoted(_TEMPLATE.escape * 2)})"
+    for c in _TEMPLATE.controls:
+        out = f"replace({out}, {_quoted(c)}, {_quoted(_TEMPLATE.escape + c)})"
+    return out
+
+
+def _marks_sql() -> str:
+    known = " ".join(f"WHEN role = {_quoted(r)} THEN {len(_TEMPLATE.open[r]) + len(_TEMPLATE.close[r])}" for r in _TEMPLATE.open)
+    name = "replace(replace(role, '%', '%25'), ']', '%5D')"
+    return f"CASE {known} ELSE {len(_TEMPLATE.other[0]) - len('{role}') + len(_TEMPLATE.other[1])} + length({name}) END"
+
+
+def _moves_sql(state: str, role: str) -> str:
+    return " OR ".join(f"({state} = {_quoted(k)} AND {role} IN ({', '.join(map(_quoted, v))}))" for k, v in _TEMPLATE.moves.items())
+
+
+#: The rest need a hash function, a tokenizer, a trained model or an edit distance that SQL lacks.
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": f"""WITH rows_ AS (SELECT conv_id, turn, coalesce(role, 'null') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, coalesce(lag(role) OVER w, 'start') AS before, coalesce(lead(role) OVER w, 'end') AS after, {_escaped_sql("text")} AS escaped FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(escaped) + {_marks_sql()}) AS BIGINT) AS formatted_chars,
+  bool_and(({_moves_sql("before", "role")}) AND (after <> 'end' OR ({_moves_sql("role", "after")}))) AS valid FROM t GROUP BY conv_id""",
+    "op3_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a), m AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""",
+}
