@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strail.llm.common import text_of
 
 BUDGET = 12  # characters for each allowed edit
-BLOCK_CHARS = 8_000_000  # characters of items in one block; larger benchmarks are matched block by block
+BLOCK_CHARS = 2_000_000  # characters of items in one block; larger benchmarks are matched block by block
 SHORTEST = 24  # items of fewer normalized characters say too little to match
 
 

@@ -13,9 +13,11 @@ lost or repeated leaves the same files.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from strail.llm.common import fresh_path, materialize, text_of
 
 MAGIC = b"SRECIDX1"
-WORDS = 250_000  # white-space separated words that a worker remembers
+WORDS = 600_000  # white-space separated words that a worker remembers, but for those of one more text
 SLICE = 4 << 20  # bytes of ids that are flushed at once
 ROWS_PER_FILE = 20_000
 
@@ -62,11 +64,24 @@ def read_record(f, offset: int | None = None) -> bytes:
     return body[:n]
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_letters = byte_letters()
+_tail = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?]+)", re.DOTALL).fullmatch
+
+
 class WordTokenizer(dict):
     """Ids of ASCII white-space separated words, by the tokenizers library, packed; a bounded number is remembered.
 
     The tokenizer's normalizer turns white space into single spaces, its pattern drops them, and no rule of it looks
-    across them; so a text's ids are those of its words, one after the other.
+    across them; so a text's ids are those of its words, one after the other. Likewise stops behind a letter or digit
+    are matches of their own. A word of Latin letters alone is one match of the pattern, which its normalizer just puts
+    in lower case; it goes to the library's model at once. All other words take the library's whole way.
     """
 
     def __init__(self, path: str):
@@ -75,24 +90,31 @@ class WordTokenizer(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")  # little-endian machines
+
+    def __missing__(self, word: bytes) -> bytes:
+        if tail := _tail(word):
+            packed = self[tail[1]] + self[tail[2]]
+        else:
+            text = word.decode()
+            if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text:
+                low = text.lower()
+                if low != text:
+                    packed = self[low.encode()]
+                else:
+                    letters = low if low.isascii() else "".join(map(_letters.__getitem__, word))
+                    packed = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+            else:
+                packed = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) < 256:
+            self[word] = packed
+        return packed
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        new = list({w for w in words if w not in self})
-        extra = {}
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                extra[w] = np.array(e.ids, self.kind).tobytes()
-        if not extra:
-            return b"".join(map(self.__getitem__, words))
-        packed = b"".join([self[w] if w in self else extra[w] for w in words])
-        if len(self) + len(extra) > WORDS:
+        if len(self) > WORDS:
             self.clear()
-        if len(extra) < WORDS:
-            self.update((w, p) for w, p in extra.items() if len(w) < 256)
-        return packed
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -107,10 +129,9 @@ def tokenizer(path: str) -> WordTokenizer:
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of each whole text (null: empty) and end_id, in ascending order of id (nulls first, then by text).
 
-    Returns the manifest (part, file, n_docs, n_ids), a row for each file in order, ids null where the id is. The ids
-    themselves are kept beside the index in Parquet-friendly form: the index row's place is the record's place.
+    Returns the manifest (part, file, n_docs, n_ids), a row for each file. Beside a file's index lie its document ids,
+    in the order of its records, as an Arrow file.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -144,7 +165,6 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_c
             store.move(f"{temporary}.{suffix}", f"{final}.{suffix}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [final], "n_docs": [len(index)], "n_ids": [n_ids]})
 
-    del kind
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_FILE))
