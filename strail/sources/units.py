@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,24 @@ def units_from_points(points: DataFrame, order: list[str], label: str = "name")
     return seg.where("t1 IS NOT NULL")
 
 
+def _rank_key(rows: DataFrame, order: list[str]) -> Column:
+    """What a minimum over `order` is taken of. Two whole numbers are packed into one decimal, which a hash aggregate can
+    hold; a minimum of structs makes Spark sort all rows instead."""
+    kinds = dict(rows.dtypes)
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and all(kinds[c] in ("int", "bigint") for c in order):
+        high, low = (F.col(c).cast("decimal(20,0)") for c in order)
+        return (high * F.lit(Decimal(2**64)) + (low + F.lit(Decimal(2**63)))).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def label_dictionary(points: DataFrame, label: str, order: list[str]) -> DataFrame:
-    """(label_id, name): ids from 1 in the order of first occurrence. The window is over distinct names only."""
-    first = points.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("name")).agg(F.min(F.struct(*order)).alias("first"))
+    """(label_id, name): ids from 1 in the order of first occurrence. The window is over distinct names only.
+
+    Of two order columns the first is a time below 2^32, or small in the same way.
+    """
+    first = points.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("name")).agg(F.min(_rank_key(points, order)).alias("first"))
     return first.select(F.row_number().over(Window.orderBy("first")).cast("long").alias("label_id"), "name")
 
 
