@@ -15,7 +15,7 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
 What is joined grows with the corpus, so joins are sort-merge joins at every size (AQE splits skewed keys).
 
 An anchor with more than HOT distinct segments (a passage whose surroundings differ in thousands of documents) would
-not fit one task; its windows are counted one by one in a partial aggregation instead, which is exact too.
+not fit one task; its windows are counted by partial aggregations instead, which is exact too; see _hot_windows().
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from strail.llm.common import arrow_bytes, discard, materialize, text_of
 
 LENGTH, GRAM, SYMBOL = 400, 64, 64
 HOT = 500  # distinct segments of one anchor that one task compares
+BLOCK = 12  # windows that are counted together where they are more
 BUCKET_BYTES = 800_000
 SLICE = 1_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -65,10 +66,11 @@ def _range_hash(table: tuple, start: np.ndarray, stop: np.ndarray) -> np.ndarray
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: row, first window (relative to the text), number of windows and anchor hash of each segment."""
+    """Of texts laid end to end: row, first window (relative to the text), number of windows, anchor's place behind the first
+    window's start, and anchor hash of each segment."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty, empty.astype(np.uint64)
     sums, inverse = _prefix_hash(data, BASES[0])
     h = _mix((sums[gram:] - sums[:-gram]) * inverse[: len(data) - gram + 1])
     width, last = length - gram + 1, np.uint64((1 << 30) - 1)
@@ -81,11 +83,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     at = np.flatnonzero(np.arange(n) + length <= offsets[1:][row])
     if not len(at):
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty, empty.astype(np.uint64)
     a, r = anchor[at], row[at]
     new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1])])
     count = np.diff(np.r_[new, len(at)])
-    return r[new], at[new] - offsets[r[new]], count, h[a[new]]
+    return r[new], at[new] - offsets[r[new]], count, a[new] - at[new], h[a[new]]
 
 
 def _slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -224,44 +226,44 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             data, offsets = arrow_bytes(b.column(2))
             for i, j in _slices(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                row, start, n, h = segments(part, own)
+                row, start, n, place, h = segments(part, own)
                 whole, first = part.tobytes(), own[row] + start
                 digest = xxhash.xxh3_128_digest
                 sums = b"".join([digest(whole[x:y]) for x, y in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)])
                 g = np.frombuffer(sums, np.int64).reshape(-1, 2)
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["id", "key", "h", "g1", "g2", "start", "n"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))],
+                    names=["id", "key", "h", "g1", "g2", "start", "n", "place"],
                 )
 
-    every = materialize(texts.mapInArrow(scan, f"id {kind}, key long, h long, g1 long, g2 long, start int, n int"), "segments")
+    every = materialize(texts.mapInArrow(scan, f"id {kind}, key long, h long, g1 long, g2 long, start int, n int, place int"), "segments")
     again = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "anchors")
     found = materialize(every.join(again.hint("merge"), "h", "left_semi"), "found")
     discard(every)
     discard(again)
     _release(spark)
-    one = F.first(F.struct("id", "key", "start", "n")).alias("one")
+    one = F.first(F.struct("id", "key", "start", "n", "place")).alias("one")
     classes = materialize(found.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("c"), one).select("h", "c", "one.*"), "classes")
     open_ = classes.groupBy("h").agg(F.count(F.lit(1)).alias("distinct"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
     open_ = materialize(open_.where("distinct > 1 and single > 0").select("h", (F.col("distinct") > HOT).alias("hot")), "open")
-    asked = classes.join(open_, "h").groupBy("id", "key").agg(F.collect_list(F.struct("h", "c", "hot", "start", "n")).alias("asked"))
+    asked = classes.join(open_, "h").groupBy("id", "key").agg(F.collect_list(F.struct("h", "c", "hot", "start", "n", "place")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "h", "c", "hot", "start", "n", "content"]
+        names = ["id", "key", "h", "c", "hot", "start", "n", "place", "content"]
         for b in batches:
             out: list[list] = [[] for _ in names]
             for key_id, key, text, asked in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 data = text.as_py().encode()
                 for a in asked.as_py():
                     s, n = a["start"], a["n"]
-                    for x, v in zip(out, (key_id.as_py(), key.as_py(), a["h"], min(a["c"], 2), a["hot"], s, n, data[s : s + n + LENGTH - 1]), strict=True):
+                    for x, v in zip(out, (key_id.as_py(), key.as_py(), a["h"], min(a["c"], 2), a["hot"], s, n, a["place"], data[s : s + n + LENGTH - 1]), strict=True):
                         x.append(v)
-            types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+            types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     joined = texts.join(asked.withColumnsRenamed({"id": "i", "key": "k"}).hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
-    content = joined.select("id", "key", "text", "asked").mapInArrow(cut, f"id {kind}, key long, h long, c long, hot boolean, start int, n int, content binary")
+    content = joined.select("id", "key", "text", "asked").mapInArrow(cut, f"id {kind}, key long, h long, c long, hot boolean, start int, n int, place int, content binary")
     content = materialize(content, "content")
     discard(classes)
     discard(open_)
@@ -285,6 +287,53 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     cold = content.where("not hot").select(bucket, "id", "key", "c", "start", "n", "content").groupBy("bucket").applyInPandas(expand, f"id {kind}, key long, start int, n int")
 
+    by_block, by_window = _hot_windows(content.where("hot").select("id", "key", "h", "c", "start", "n", "place", "content"), kind)
+    single = materialize(cold.union(by_block).union(by_window), "single")
+    discard(content)
+    _release(spark)
+    sign = lambda df, s: df.select("id", "key", F.struct("start", "n", F.lit(s).alias("sign")).alias("run"))
+    runs = sign(found, 1).union(sign(single, -1)).groupBy("id", "key").agg(F.collect_list("run").alias("__runs"))
+    runs = runs.withColumnsRenamed({"id": "__i", "key": "__k"})
+    return source.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left").drop("__i", "__k", "__key")
+
+
+def _hot_windows(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Runs (id, key, start, n) of windows that occur once, of segments whose anchor is shared by too many for one task.
+
+    Windows are taken in blocks of BLOCK, counted from the anchor. All windows of a block hold its core, so blocks whose
+    core occurs once have single windows only; blocks that are equal throughout repeat in all windows. Only distinct
+    blocks of one core are told apart window by window. Each step is a count with partial sums, whatever a key's share.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "key", "h", "c", "block", "core", "f1", "f2", "start", "n", "content"]
+        for b in batches:
+            out: list[list] = [[] for _ in names[2:]]
+            take = []
+            for i, (h, c, start, n, place, content) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 8)), strict=True)):
+                first = 0
+                while first < n:
+                    block = (first - place) // BLOCK
+                    low = block * BLOCK + place  # the block's first window, here or before the segment
+                    end = min(n, low + BLOCK)
+                    core = xxhash.xxh3_64_intdigest(content[low + BLOCK - 1 : low + LENGTH], seed=block & 0xFFFF)
+                    whole = content[first : end - 1 + LENGTH]
+                    full = xxhash.xxh3_128_digest(whole, seed=first - low)
+                    take.append(i)
+                    for x, v in zip(out, (h, c, block, core - (1 << 64) if core >> 63 else core, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True), start + first, end - first, whole), strict=True):
+                        x.append(v)
+                    first = end
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=names)
+
+    cut = rows.mapInArrow(blocks, f"id {kind}, key long, h long, c long, block int, core long, f1 long, f2 long, start int, n int, content binary")
+    one = F.first(F.struct("id", "key", "start", "n", "content")).alias("one")
+    classes = materialize(cut.groupBy("h", "block", "core", "f1", "f2").agg(F.sum("c").alias("c"), one).select("h", "block", "core", "c", "one.*"), "blocks")
+    cores = classes.groupBy("h", "block", "core").agg(F.count(F.lit(1)).alias("distinct"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
+    cores = materialize(cores.where("single > 0").select("h", "block", "core", "distinct"), "cores")
+    told = classes.join(cores.hint("merge"), ["h", "block", "core"])
+
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = arrow_bytes(b.column(5))
@@ -298,16 +347,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 start = b.column(3).to_numpy()[i:j][row] + no.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(start)], names=["w1", "w2", "id", "key", "c", "start"])
 
-    hot = content.where("hot").select("id", "key", "c", "start", "n", "content").mapInArrow(each_window, f"w1 long, w2 long, id {kind}, key long, c long, start int")
-    hot = hot.groupBy("w1", "w2").agg(F.sum("c").alias("c"), F.first(F.struct("id", "key", "start")).alias("one")).where("c = 1")
-    hot = hot.select("one.*", F.lit(1).alias("n"))
-    single = materialize(cold.union(hot.select("id", "key", "start", "n")), "single")
-    discard(content)
-    _release(spark)
-    sign = lambda df, s: df.select("id", "key", F.struct("start", "n", F.lit(s).alias("sign")).alias("run"))
-    runs = sign(found, 1).union(sign(single, -1)).groupBy("id", "key").agg(F.collect_list("run").alias("__runs"))
-    runs = runs.withColumnsRenamed({"id": "__i", "key": "__k"})
-    return source.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left").drop("__i", "__k", "__key")
+    asked = told.where("distinct > 1").select("id", "key", F.least("c", F.lit(2)).cast("long").alias("c"), "start", "n", "content")
+    windows = asked.mapInArrow(each_window, f"w1 long, w2 long, id {kind}, key long, c long, start int")
+    windows = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c"), F.first(F.struct("id", "key", "start")).alias("one")).where("c = 1")
+    return told.where("distinct = 1 and c = 1").select("id", "key", "start", "n"), windows.select("one.*", F.lit(1).alias("n"))
 
 
 def spans_of(size: int, runs: list[dict] | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
