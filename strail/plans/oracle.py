@@ -215,5 +215,10 @@ SELECT greatest(a.b, c.b) AS "begin", least(a.e, c.e) AS "end" FROM a JOIN c ON
     "choose_child": f"WITH {BOXES}, {SPATIAL}, {TEXTUAL}, c AS (SELECT trajectory_id, node_id, row_number() OVER (PARTITION BY trajectory_id ORDER BY 0.5::DOUBLE * spatial + 0.5::DOUBLE * textual, size, node_id) AS r FROM sp JOIN tx USING (trajectory_id, node_id)) SELECT trajectory_id, node_id FROM c WHERE r = 1",
     "union_area_2d": f"""WITH {RECT}, full_ AS (SELECT * FROM rect WHERE x1 > x0 AND y1 > y0), cells AS (SELECT DISTINCT k, x, unnest(range(y0, y1)) AS y FROM (SELECT k, y0, y1, unnest(range(x0, x1)) AS x FROM full_))
 SELECT r.k, CAST(count(c.x) AS DOUBLE) AS area FROM (SELECT DISTINCT k FROM rect) r LEFT JOIN cells c USING (k) GROUP BY r.k""",
+    "tree_stats": f"""WITH RECURSIVE {LAID}, lv AS (SELECT 0 AS k, count(DISTINCT leaf_id) AS n FROM laid UNION ALL SELECT k + 1, CAST(ceil(n / 16.0) AS BIGINT) FROM lv WHERE n > 1),
+p AS (SELECT DISTINCT k, leaf_id // CAST(pow(16, k) AS BIGINT) AS node, leaf_id // CAST(pow(16, k - 1) AS BIGINT) AS child, label_id FROM laid CROSS JOIN lv WHERE k > 0),
+lists AS (SELECT k, node, label_id, count(*) AS n FROM p GROUP BY ALL), idx AS (SELECT k, node, count(*) AS n FROM lists GROUP BY ALL)
+SELECT CAST((SELECT count(*) FROM laid) AS DOUBLE) / CAST((SELECT n FROM lv WHERE k = 0) * 113 AS DOUBLE) AS leaf_utilization, coalesce((SELECT avg(n) FROM idx), 0) AS internal_index_size, coalesce((SELECT avg(n) FROM lists), 0) AS internal_list_size,
+  (SELECT count(*) FROM laid) AS entry_count, (SELECT n FROM lv WHERE k = 0) AS leaf_nodes, CAST((SELECT coalesce(sum(n), 0) FROM lv WHERE k > 0) AS BIGINT) AS internal_nodes, CAST((SELECT max(k) + 1 FROM lv) AS INTEGER) AS height""",
     "bloom_roundtrip": f"{U} SELECT DISTINCT label_id, trajectory_id AS id, true AS held FROM units WHERE unit_index % 7 = 0",
 }
