@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from strail.llm.common import text_of
 
-PIECES = 250_000  # pieces that a worker remembers
+PIECES = 500_000  # pieces that a worker remembers
+HEAD, HEADS = 8, 300_000  # bytes of a prefix whose last token is remembered, and how many
 LONG = 256  # longer pieces are not remembered
 
 
@@ -36,6 +37,8 @@ class Tables:
         self.made: dict[int, int] = {}  # when a token is made: its rank; -1 for single bytes
         self.usable: dict[bytes, int] = {}
         self.known: dict[int, bool] = {}
+        self.heads: dict[bytes, int] = {}  # last tokens of prefixes of up to HEAD bytes
+        self.size_of = {t: len(b) for b, t in ranks.items()}
         for b, t in sorted(ranks.items(), key=lambda x: x[1]):
             if len(b) == 1:
                 self.made[t], self.usable[b] = -1, t
@@ -47,6 +50,10 @@ class Tables:
                         self.halves[t], self.made[t], self.usable[b] = (x, y), t, t
                         break
         self.known.clear()
+        self.tails: dict[bytes, int] = {}  # each end of a token: the token that it is itself, or -1
+        for b in ranks:
+            for i in range(len(b)):
+                self.tails[b[i:]] = self.usable.get(b[i:], -1)
 
     @classmethod
     def load(cls, path: str) -> Tables:
@@ -83,17 +90,23 @@ class Tables:
         return got
 
     def last_token(self, data: bytes, at: int, last: list[int]) -> int:
-        """The token that ends the prefix of length `at`, from those of all shorter prefixes (last[0] is -1)."""
-        usable, known = self.usable, self.known
-        for start in range(max(0, at - self.longest), at):
-            t = usable.get(data[start:at])
-            if t is not None:
+        """The token that ends the prefix of length `at`, from those of all shorter prefixes (last[0] is -1).
+
+        Only one token can; so the shortest is tried first, and the walk ends where no token has such an end.
+        """
+        tails, known, start = self.tails, self.known, at - 1
+        while start >= 0:
+            t = tails.get(data[start:at])
+            if t is None:
+                break
+            if t >= 0:
                 before = last[start]
                 if before < 0:
                     return t
                 ok = known.get(before << 20 | t)
                 if ok or ok is None and self.fits(before, t):
                     return t
+            start -= 1
         raise ValueError(f"no token for byte {data[at - 1]}")
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -101,7 +114,24 @@ class Tables:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        return PrefixEncoder(self, piece).tokens()
+        # PrefixEncoder's walk; the starts of pieces are remembered across pieces.
+        heads, step, last, n = self.heads, self.last_token, [-1], len(piece)
+        for at in range(1, n + 1):
+            if at > HEAD:
+                last.append(step(piece, at, last))
+                continue
+            t = heads.get(piece[:at])
+            if t is None:
+                if len(heads) > HEADS:
+                    heads.clear()
+                t = heads[piece[:at]] = step(piece, at, last)
+            last.append(t)
+        out, size = [], self.size_of
+        while n:
+            t = last[n]
+            out.append(t)
+            n -= size[t]
+        return out[::-1]
 
 
 class PrefixEncoder:
