@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A token's input joins its word vector and the mean vector of its character n-grams. Windows of 32 tokens that overlap
+A token's input joins its word vector and the mean vector of all its character n-grams; runs of over 32 word characters
+(text without white space) are cut into tokens that overlap by half. Windows of 32 tokens that overlap
 by half cover the whole text; a document's logit is the largest of its windows', set to a probability on the training
 documents. Training picks, in each round, the windows that stand for their document now: the worst one of each, and a
 random one of the clean documents. A window with two directions of 8 units takes a few thousand multiplications a
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from strail.llm.common import sample_labelled
 
 WINDOW, STRIDE = 32, 16
 UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
-WORDS, BUCKETS, GRAMS = 4000, 2048, 14  # known words; places for character n-grams; n-grams of a word that are read
+LONGEST, STEP = 32, 16  # characters of a token at most; longer ones are cut into tokens that start each STEP characters
+WORDS, BUCKETS, GRAMS = 4000, 2048, 2 * LONGEST  # known words; places for character n-grams; n-grams of a longest token
 PER_CLASS = 700  # labelled documents of each class that are learned from, at most
 ROUNDS, BATCH, DRAWS = 8, 96, 1200  # DRAWS: windows of each class in a round
 REMEMBERED = 150_000  # words whose inputs a worker remembers
@@ -33,7 +36,10 @@ _tokens = re.compile(r"\w+").findall
 
 
 def tokens(text: str) -> list[str]:
-    return _tokens(text.lower())
+    found = _tokens(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[a : a + LONGEST] for w in found for a in range(0, max(1, len(w) - LONGEST + STEP), STEP)]
 
 
 class _Places(dict):
@@ -50,13 +56,17 @@ _places = _Places()
 
 
 def char_ids(word: str) -> list[int]:
-    """Places of the word's character n-grams (3 characters, with its borders, and 1); 0 pads. Of longer words an even choice."""
+    """Places of all the word's character n-grams (3 characters, with its borders, and 1)."""
     w = f"<{word}>"
-    grams = [*map("".join, zip(w, word, w[2:])), *word]
-    n = len(grams)
-    if n > GRAMS:
-        grams = [grams[i * n // GRAMS] for i in range(GRAMS)]
-    return [*map(_places.__getitem__, grams), *[0] * (GRAMS - n)]
+    return [*map(_places.__getitem__, map("".join, zip(w, word, w[2:]))), *map(_places.__getitem__, word)]
+
+
+def padded(chars: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The n-grams of the words at rows, one more axis as wide as the longest of them; 0 pads."""
+    n = counts[rows][..., None]
+    at = np.arange(n.max())
+    first = (np.cumsum(counts) - counts)[rows][..., None]
+    return np.where(at < n, chars[np.minimum(first + at, len(chars) - 1)], 0)
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -84,8 +94,11 @@ class Network:
         self.vocabulary: dict[str, int] = {}
         self.scale = np.array([1.0, 0.0])  # logit -> scale[0] * logit + scale[1]
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([self.vocabulary.get(w, 0) for w in words], np.int32), np.array([char_ids(w) for w in words], np.int32).reshape(len(words), GRAMS)
+    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ids, the n-grams of all words in one row, and how many each word has (one at least)."""
+        ids = [char_ids(w) for w in words]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.array([self.vocabulary.get(w, 0) for w in words], np.int32), np.fromiter(chain.from_iterable(ids), np.int32, counts.sum()), counts
 
     def vectors(self, word: np.ndarray, chars: np.ndarray) -> np.ndarray:
         n = np.maximum((chars > 0).sum(axis=-1, keepdims=True), 1).astype(np.float32)
@@ -127,8 +140,9 @@ class Network:
             out[i : i + CHUNK] = self.pool(hs, mask)[3]
         return out
 
-    def project(self, word: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        x = self.vectors(word, chars)
+    def project(self, word: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        mean = np.add.reduceat(self.p["char"][chars], np.cumsum(counts) - counts, axis=0) / counts[:, None].astype(np.float32)
+        x = np.concatenate([self.p["word"][word], mean], axis=-1)
         return np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]], axis=1)
 
     def gradients(self, word: np.ndarray, chars: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -173,7 +187,7 @@ class Network:
         g["word"][0] = 0
         n = np.maximum((chars > 0).sum(axis=-1), 1)
         each = (d_x[:, :, WORD_DIM:] / n[:, :, None]).reshape(-1, CHAR_DIM)
-        g["char"] = np.stack([np.bincount(chars.ravel(), np.repeat(each[:, j], GRAMS), BUCKETS) for j in range(CHAR_DIM)], axis=1).astype(np.float32)
+        g["char"] = np.stack([np.bincount(chars.ravel(), np.repeat(each[:, j], chars.shape[-1]), BUCKETS) for j in range(CHAR_DIM)], axis=1).astype(np.float32)
         g["char"][0] = 0
         return loss, g
 
@@ -203,7 +217,7 @@ class Network:
         net.p["word"][1 : len(known) + 1, 0] = np.clip(odds, -3, 3) * np.minimum(1, np.array([n for _, n in known]) / 8)
         names = sorted(count)
         place = {w: i for i, w in enumerate(names)}
-        word, chars = net.inputs(names)
+        word, chars, counts = net.inputs(names)
         starts = [window_starts(len(d)) for d in docs]
         first = np.r_[0, np.cumsum([len(s) for s in starts])]
         index = np.full((first[-1], WINDOW), -1, np.int32)
@@ -215,7 +229,7 @@ class Network:
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
         step = 0
         for turn in range(ROUNDS):
-            scores = net.logits(net.project(word, chars), index) if turn else rng.standard_normal(len(index))
+            scores = net.logits(net.project(word, chars, counts), index) if turn else rng.standard_normal(len(index))
             worst = first[:-1] + np.array([int(np.argmax(scores[a:b])) for a, b in zip(first, first[1:], strict=False)])
             drawn = first[:-1] + (rng.random(len(docs)) * np.diff(first)).astype(np.int64)
             pos, neg = worst[y == 1], np.r_[worst[y == 0], drawn[y == 0]]
@@ -229,7 +243,7 @@ class Network:
                 part = index[chosen[own]]
                 mask = part >= 0
                 safe = np.maximum(part, 0)
-                _, g = net.gradients(word[safe] * mask, chars[safe] * mask[:, :, None], mask, target[own])
+                _, g = net.gradients(word[safe] * mask, padded(chars, counts, safe) * mask[:, :, None], mask, target[own])
                 step += 1
                 for k, v in g.items():
                     if k in ("word", "char"):
@@ -238,7 +252,7 @@ class Network:
                     m1 += 0.1 * (v - m1)
                     m2 += 0.005 * (v * v - m2)
                     net.p[k] -= (0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.995**step)) + 1e-6)).astype(np.float32)
-        scores = net.logits(net.project(word, chars), index)
+        scores = net.logits(net.project(word, chars, counts), index)
         top = np.array([scores[a:b].max() for a, b in zip(first, first[1:], strict=False)], np.float64)
         net.scale = platt(top, y)
         return net
