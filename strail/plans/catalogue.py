@@ -254,8 +254,12 @@ def interval_set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k_smallest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _smallest_gaps(_spans(spark, sf_dir))
+
+
+def _smallest_gaps(spans: DataFrame) -> DataFrame:
     w = Window.partitionBy("k").orderBy("begin")
-    gaps = _spans(spark, sf_dir).select("k", "begin", (F.lead("begin").over(w) - F.col("end")).alias("gap")).where("gap is not null")
+    gaps = spans.select("k", "begin", (F.lead("begin").over(w) - F.col("end")).alias("gap")).where("gap is not null")
     return gaps.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("gap", "begin"))).where("r <= 4").withColumn("r", F.col("r").cast("long"))
 
 
@@ -287,6 +291,76 @@ def choose_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("trajectory_id").agg(F.min_by("node_id", F.struct("cost", "size", "node_id")).alias("node_id"))
 
 
+def _all_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units(spark, sf_dir).select("label_id", F.col("trajectory_id").alias("id"))
+
+
+def _all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disjoint intervals of all customers for each segment."""
+    c = _read(spark, sf_dir, "customer")
+    return c.select(F.col("c_mktsegment").alias("k"), (F.col("c_custkey") * 2).alias("begin"), (F.col("c_custkey") * 2 + F.col("c_nationkey") % 2).alias("end"))
+
+
+def interval_set_build_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.ids_to_intervals(_all_label_ids(spark, sf_dir), ["label_id"], 8)
+
+
+def bloom_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bloom(_all_label_ids(spark, sf_dir))
+
+
+def interval_set_trim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.trim_intervals(_all_spans(spark, sf_dir), ["k"], 5)
+
+
+def k_smallest_gap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _smallest_gaps(_all_spans(spark, sf_dir))
+
+
+def _descend(probe: DataFrame, boxes: DataFrame, hist: DataFrame, fanout: int = 16) -> DataFrame:
+    """All children that each probe is tried against on its way from the root to a leaf, with their costs and whether it goes there."""
+    levels = [(boxes, hist)]
+    while boxes.agg(F.max("node_id")).first()[0] >= fanout:
+        boxes = I.internal_boxes(boxes, fanout)
+        hist = hist.groupBy(F.expr(f"node_id DIV {fanout}").alias("node_id"), "label_id").agg(F.sum("count").alias("count"))
+        levels.append((boxes, hist))
+    at, out = probe.withColumn("parent", F.lit(0).cast("long")), None
+    for level in reversed(range(len(levels))):
+        boxes, hist = levels[level]
+        total = hist.groupBy("node_id").agg(F.sum("count").alias("total"))
+        nodes = boxes.join(total, "node_id").select("node_id", "total", F.expr(f"node_id DIV {fanout}").alias("parent"), *[F.col(c).alias(f"n_{c}") for c in G.MIN_MAX])
+        pair = at.join(nodes, "parent").join(hist.select("node_id", "label_id", "count"), ["node_id", "label_id"], "left").select("*", G.volume("n_").alias("size"), *G.union_box("u_", "n_", "g_"))
+        own = Window.partitionBy("trajectory_id")
+        pair = pair.withColumn("enlargement", G.volume("g_") - F.col("size")).withColumn("spatial", F.col("enlargement") * G.inverse(F.max("enlargement").over(own)))
+        pair = pair.withColumn("textual", F.when(F.col("count").isNull(), F.lit(1.0)).otherwise(1 - (F.lit(1) + F.col("count")) / (F.lit(1) + F.col("total"))))
+        pair = pair.withColumn("cost", 0.5 * F.col("spatial") + 0.5 * F.col("textual"))
+        pair = pair.withColumn("chosen", F.row_number().over(own.orderBy("cost", "size", "node_id")) == 1)
+        rows = pair.select("trajectory_id", F.lit(level).alias("level"), "node_id", "size", "spatial", "textual", "chosen")
+        out = rows if out is None else out.union(rows)
+        at = pair.where("chosen").select(*probe.columns, F.col("node_id").alias("parent"))
+    return out
+
+
+def _all_descents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = units(spark, sf_dir).where("unit_index = 0").select("trajectory_id", "label_id", *G.unit_mbb("u_"))
+    laid = _laid(spark, sf_dir)
+    return _descend(probe, I.leaf_boxes(laid), I.histogram(laid))
+
+
+def spatial_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each trajectory's first unit and each child of the nodes that it reaches: enlargement over the largest enlargement."""
+    return _all_descents(spark, sf_dir).select("trajectory_id", "level", "node_id", "size", "spatial")
+
+
+def textual_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_descents(spark, sf_dir).select("trajectory_id", "level", "node_id", "textual")
+
+
+def choose_child_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The child that each trajectory's first unit goes to at each level, down to a leaf (level 0)."""
+    return _all_descents(spark, sf_dir).where("chosen").select("trajectory_id", "level", "node_id")
+
+
 def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tree_stats(_index(spark, sf_dir)).select("leaf_utilization", "internal_index_size", "internal_list_size", "entry_count", "leaf_nodes", "internal_nodes", "height")
 
@@ -329,8 +403,11 @@ def _layout(name: str) -> Callable:
 
 def bloom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each label and trajectory: whether the label's Bloom filter holds it, and whether it is there; hits never miss."""
+    return _bloom(_label_ids(spark, sf_dir))
+
+
+def _bloom(rows: DataFrame) -> DataFrame:
     bits = S.bloom_bits(40)
-    rows = _label_ids(spark, sf_dir)
     filters = S.bloom_filters(rows, ["label_id"], bits)
     pairs = rows.distinct().join(filters, "label_id")
     return pairs.select("label_id", "id", S.bloom_may_contain(F.col("filter"), F.col("id"), bits).alias("held"))
@@ -369,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             sequenced_counts, selectivity_report, match_text, activity_join, activity_runs, split_long_units, route_accumulate, city_pairs, id_remap, slice_offset_limit, leaf_mbb, leaf_summary,
             internal_summary, internal_mbb, label_histogram, matching_children, query_time_window, trim_windows, shared_ids, interval_set_build, interval_set_trim, interval_set_union,
             interval_set_intersect, k_smallest_gap, spatial_cost, textual_cost, choose_child, tree_stats, tree_stats_full, union_area_2d, hilbert_index, hilbert_curve, bloom_roundtrip, random_walk, demo_points,
+            interval_set_build_all, bloom_roundtrip_all, interval_set_trim_all, k_smallest_gap_all, spatial_cost_all, textual_cost_all, choose_child_all,
         )
     },
 }
