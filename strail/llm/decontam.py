@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item of m characters may differ in k = m // 12 edits (none below 24 characters). Cut into k + 1 pieces,
-one piece must occur unchanged wherever the item occurs with at most k edits. One automaton over the pieces of a block
+A test item of m characters may differ in k = m // 12 edits. Items below 24 characters match without edits, as whole
+words. With an item cut into k + 1 pieces, one piece must occur unchanged wherever the item occurs with at most k edits. One automaton over the pieces of a block
 of items finds the exact hits in a document; around each hit Myers' bit-parallel distance decides.
 """
 
@@ -18,7 +18,7 @@ from strail.llm.common import text_of
 
 BUDGET = 12  # characters for each allowed edit
 BLOCK_CHARS = 2_000_000  # characters of items in one block; larger benchmarks are matched block by block
-SHORTEST = 24  # items of fewer normalized characters say too little to match
+SHORTEST = 24  # items of fewer normalized characters match exactly, as whole words only
 
 
 def normalize(text: str | None) -> str:
@@ -36,6 +36,12 @@ def pieces(text: str, k: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def whole_words(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither starts nor ends within a word."""
+    inside = lambda i: 0 < i < len(text) and all(c.isalnum() or c == "_" for c in text[i - 1 : i + 1])
+    return not inside(a) and not inside(b)
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -92,6 +98,8 @@ class Matcher:
             for n, at in where:
                 start = end + 1 - size - at  # where the item would start without insertions or deletions before
                 k, m = self.items[n][2], len(self.items[n][1])
+                if not k and m < SHORTEST and not whole_words(text, start, start + m):
+                    continue
                 own = spans.setdefault(n, [])
                 if not own or start - k > own[-1][0] + k or start < own[-1][0]:  # hits of one diagonal band are one window
                     own.append((start, start + m))
@@ -116,7 +124,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     block, size = [], 0
     for r in benchmark.select(id_col, text_col).toLocalIterator():
         t = normalize(r[1])
-        if r[0] is None or len(t) < SHORTEST:
+        if r[0] is None or not t:
             continue
         block.append((r[0], t))
         size += len(t)
@@ -130,7 +138,8 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 def contaminated(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """(id, item_id, edits) for each item that a document holds with at most its allowed edits.
 
-    Null, empty and short items (under 24 normalized characters) match nothing, nor do null and empty texts. A row is
+    Null and empty items match nothing, nor do null and empty texts; short items (under 24 normalized characters) match
+    whole words without edits. A row is
     given for each document row, null and repeated ids included; an item id that repeats is given once, with the fewest
     edits. With by_row the result has docs' columns and `__items`, an array of (item_id, edits), for all rows instead.
     """
