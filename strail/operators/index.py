@@ -88,6 +88,8 @@ def build(units: DataFrame, config: IndexConfig, labels: DataFrame | None = None
     """Lay out, number leaves densely, and summarize level by level up to one root."""
     from strail.operators.layout import apply_layout
 
+    if config.id_set == "bloom" or config.beta_mode != "normal":
+        raise ValueError(f"id set bloom and beta modes but normal are not built: {config.id_set}, {config.beta_mode}")
     laid = apply_layout(units, config.layout, config.leaf_fanout, config.beta).persist()
     seq = number_nodes(leaf_boxes(laid))
     laid = laid.join(seq.withColumnRenamed("node_id", "leaf_id"), "leaf_id").drop("leaf_id").withColumnRenamed("seq", "leaf_id").persist()

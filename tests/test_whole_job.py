@@ -3,10 +3,12 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from strail.operators import index as I
 from strail.operators import insertion as N
 from strail.plans import catalogue as C
+from strail.schema import IndexConfig
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +72,9 @@ def test_descent_sees_every_trajectory_and_child(spark):
             parent = next(r["node_id"] for r in rows if r["chosen"])
             assert parent == nodes[N.choose(0.5 * spatial + 0.5 * textual, N.volumes(lows, highs))]
     assert len({k[0] for k in got}) == len(first) == len({r["trajectory_id"] for r in C.QUERIES["choose_child_all"](spark, SF).collect()})
+
+
+@pytest.mark.parametrize("option", [{"id_set": "bloom"}, {"beta_mode": "increasing"}, {"beta_mode": "decreasing"}])
+def test_index_refuses_what_it_does_not_build(spark, option):
+    with pytest.raises(ValueError, match="not built"):
+        I.build(C.units(spark, SF), IndexConfig(**option))
