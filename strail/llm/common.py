@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = getattr(spark.sparkContext, "_strail_dir", None)
         if where is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="strail-")
             spark.sparkContext._strail_dir = where
             spark.sparkContext.setCheckpointDir(where)
@@ -60,6 +62,14 @@ def _clean() -> None:
             return
 
 
+def own_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names with as many underscores behind them as keep them apart from those taken, in any case of letters."""
+    lower, end = {t.lower() for t in taken}, ""
+    while any(w.lower() + end in lower for w in wanted):
+        end += "_"
+    return [w + end for w in wanted]
+
+
 def text_of(col: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -1,21 +1,26 @@
 """Repeated passages by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-A byte goes if a string of `length` bytes that covers it starts anywhere else too. Three steps find all of these:
+A byte goes if a string of `length` bytes that covers it starts anywhere else too. A transform of a whole corpus is no
+distributed object, so strings that may be equal are first brought together; the transform then decides:
 
 1. Anchors. Of the 64-byte grams in a window of `length` bytes the one of smallest hash (of equals the last) is the
    window's anchor: a function of the window's bytes alone, so equal windows have equal anchors at equal places.
-   Neighbouring windows of one anchor form a segment. Anchors that occur once in the corpus settle their windows.
-2. Segments that are equal byte for byte settle theirs; one of each remains, with its count.
-3. What is left are distinct segments that share an anchor. They are put together by anchor, cut into symbols after
-   white space, and the Burrows-Wheeler transform of the symbols is expanded backwards, breadth first: intervals of
-   suffixes with common prefixes of growing length, each setting the border behind it, until a prefix is as long as
-   full symbols must be in a repeated window (length - 2 * 64 bytes). Borders that are never set hold together
-   the suffixes that may start equal windows; among those, windows are compared whole by 128-bit hashes.
-
-What is joined grows with the corpus, so joins are sort-merge joins at every size (AQE splits skewed keys).
+   Neighbouring windows of one anchor form a segment. Windows of an anchor that occurs once have no equal.
+2. Segments that are equal byte for byte (by a BLAKE2 digest) are one class with a count; all windows of a class of two
+   or more repeat.
+3. Distinct segments that share an anchor are put together, and the Burrows-Wheeler transform of their bytes is
+   expanded backwards, breadth first: intervals of suffixes that start with common strings of growing length, each
+   setting the border behind it. After `length` levels the borders that are still open are those between suffixes with
+   a common prefix of `length` bytes or more; a window repeats if and only if it starts such a suffix.
 
 An anchor with more than HOT distinct segments (a passage whose surroundings differ in thousands of documents) would
-not fit one task; its windows are counted by partial aggregations instead, which is exact too; see _hot_windows().
+not fit one task. It is split by more context: its windows are cut into blocks of BLOCK, counted from the anchor, and
+only blocks whose common bytes are equal stay together; a block whose common bytes occur once repeats nowhere, and the
+others go through the same expansion. Common bytes with more than HOT surroundings of their own are split again, into
+single windows: their whole bytes are context then, and nothing is left to expand. So no group that a task holds grows with
+the corpus, and no window is left out.
+
+What is joined grows with the corpus, so joins are sort-merge joins at every size (AQE splits skewed keys).
 """
 
 from __future__ import annotations
@@ -27,26 +32,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strail.llm.common import arrow_bytes, discard, materialize, text_of
+from strail.llm.common import arrow_bytes, discard, materialize, own_names, text_of
 
-LENGTH, GRAM, SYMBOL = 400, 64, 64
-HOT = 500  # distinct segments of one anchor that one task compares
-BLOCK = 12  # windows that are counted together where they are more
-BUCKET_BYTES = 800_000
+LENGTH, GRAM = 400, 64
+HOT = 500  # distinct contents of one anchor, or of one block, that one task compares
+BLOCK = 12  # windows of a block of a hot anchor
+BUCKET_BYTES = 500_000
 SLICE = 1_000_000
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
+KEY_SYMBOLS = 7  # of 9 bits each in a long
 
 
-def _prefix_hash(data: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of (byte + 1) * base^i, modulo 2^64, and the inverse powers that move a difference of two to place 0."""
+def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (byte + 1) * BASE^i, modulo 2^64, and the inverse powers that move a difference of two to place 0."""
     n = len(data)
     power, inverse = np.empty(n + 1, np.uint64), np.empty(n + 1, np.uint64)
     power[0] = inverse[0] = 1
-    power[1:], inverse[1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+    power[1:], inverse[1:] = np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64))
     np.multiply.accumulate(power, out=power)
     np.multiply.accumulate(inverse, out=inverse)
     sums = np.zeros(n + 1, np.uint64)
@@ -60,18 +65,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def _range_hash(table: tuple, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    sums, inverse = table
-    return _mix((sums[stop] - sums[start]) * inverse[start])
-
-
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end: row, first window (relative to the text), number of windows, anchor's place behind the first
-    window's start, and anchor hash of each segment."""
+    window's start, and anchor hash of each segment. The hash only brings windows together: unlike grams of one hash are
+    compared in vain, and nothing is decided by it."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty, empty, empty, empty, empty.astype(np.uint64)
-    sums, inverse = _prefix_hash(data, BASES[0])
+    sums, inverse = _prefix_hash(data)
     h = _mix((sums[gram:] - sums[:-gram]) * inverse[: len(data) - gram + 1])
     width, last = length - gram + 1, np.uint64((1 << 30) - 1)
     key = (h & ~last) | (last - np.arange(len(h), dtype=np.uint64))
@@ -99,138 +100,144 @@ def _slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]
         a = b
 
 
-def repeated_windows(content: list[bytes], windows: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment, which of its windows also occur elsewhere among all; weight 2 stands for a segment that repeats."""
-    sizes = np.array([len(c) for c in content], np.int64)
-    data, begin = np.frombuffer(b"".join(content), np.uint8), np.r_[0, np.cumsum(sizes)]
-    tables = [_prefix_hash(data, b) for b in BASES]
-    # Symbols: each ends behind a white-space byte, or with its segment.
-    cut = np.zeros(len(data) + 1, bool)
-    cut[1:] = data <= 0x20
-    cut[begin] = True
-    start = np.flatnonzero(cut[:-1])
-    stop = np.r_[start[1:], len(data)]
-    owner = np.searchsorted(begin, start, "right") - 1
-    names, symbol = np.unique(_range_hash(tables[1], start, stop), return_inverse=True)
-    # Behind each segment stands a sign of its own; these come first in order.
-    k, total = len(content), len(start) + len(content)
-    place = np.arange(len(start)) + owner
-    text, size = np.empty(total, np.int64), np.zeros(total, np.int64)
-    ends = np.cumsum(np.bincount(owner, minlength=k) + 1) - 1
-    text[place], text[ends] = symbol + k, np.arange(k)
-    size[place] = stop - start
-    may = candidate_suffixes(text, size, k, length - 2 * SYMBOL)
-    # A window that starts in a symbol is told by the suffix behind that symbol.
-    long_segment = np.zeros(k, bool)
-    long_segment[owner[stop - start > SYMBOL]] = True
-    seg = np.repeat(np.arange(k), windows)
-    first = np.repeat(begin[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    behind = place[np.searchsorted(start, first, "right") - 1] + 1
-    ask = np.flatnonzero(may[behind] | long_segment[seg])
-    h = [_range_hash(t, first[ask], first[ask] + length) for t in tables]
-    order = np.lexsort(h)
-    same = np.r_[False, (h[0][order][1:] == h[0][order][:-1]) & (h[1][order][1:] == h[1][order][:-1])] if len(ask) else np.zeros(0, bool)
-    group = np.cumsum(~same) - 1
-    times = np.bincount(group, weight[seg[ask[order]]], minlength=1)
-    again = np.zeros(len(seg), bool)
-    again[ask[order]] = times[group] >= 2
-    return np.split(again, np.cumsum(windows)[:-1])
-
-
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes and the rank of each, by doubling the compared length until all differ."""
-    n = len(text)
-    rank, step = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-        step *= 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order, rank
-
-
-def candidate_suffixes(text: np.ndarray, size: np.ndarray, signs: int, least: int) -> np.ndarray:
-    """Suffixes of text that share a prefix of at least `least` bytes with another one; size: bytes of each symbol.
-
-    Symbols below `signs` end segments and occur once. Intervals are expanded backwards by all symbols that stand
-    before their suffixes, breadth first; the interval of a string sets the border behind it if it is still open and
-    the string without its last symbol is shorter than `least`. An interval whose border is set already tells nothing
-    new, nor do those that come from it.
+def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes and the rank of each. Signs 0, 1, ... stand at `ends`; other symbols are len(ends) + byte.
+
+    The first symbols are compared as one number, then the compared length doubles for all suffixes that are not yet
+    alone; a comparison that reaches a sign is decided by it.
     """
-    n = len(text)
-    order, rank = suffix_array(text)
-    before = order - 1  # of the first suffix the last one, a sign
-    bwt, last_first = text[before], rank[before]
-    bytes_of = np.zeros(int(text.max()) + 1, np.int64)
-    bytes_of[text] = size
-    border = np.zeros(n + 1, bool)  # border[i]: the suffixes of ranks i - 1 and i differ early
-    border[: signs + 1] = border[n] = True
-    low, high, total, tail = (np.array([x], np.int64) for x in (0, n - 1, 0, -1))
-    while len(low):
+    n, k = len(text), len(ends)
+    owner = np.repeat(np.arange(k), np.diff(np.r_[-1, ends]))
+    end_of, at = ends[owner], np.arange(n)
+    symbol = np.where(text < k, 0, text - k + 1).astype(np.int64)
+    key = np.zeros(n, np.int64)
+    for i in range(KEY_SYMBOLS):
+        key <<= 9
+        m = max(0, n - i)
+        key[:m] += np.where(at[:m] + i <= end_of[:m], symbol[i : i + m], 0)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    active, step = order[~(new & np.r_[new[1:], True])], KEY_SYMBOLS
+    while len(active):
+        behind = active + step
+        second = np.where(behind <= end_of[active], rank[np.minimum(behind, n - 1)] + k, owner[active])
+        own = rank[active]
+        key = own * (n + k + 1) + second
+        by = np.argsort(key)
+        active, key, own = active[by], key[by], own[by]
+        no = np.arange(len(active))
+        place = own + no - np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], no, 0))
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[active] = np.maximum.accumulate(np.where(new, place, 0))
+        order[place] = active
+        active, step = active[~(new & np.r_[new[1:], True])], step * 2
+    return order, rank
+
+
+def repeated_suffixes(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes share a prefix of at least `length` symbols with another one; text and ends as for suffix_array().
+
+    Level by level, the interval of each string is expanded by all symbols that stand before its suffixes. A longer
+    string's interval sets the border behind it if that is still open: the suffixes on its two sides have exactly the
+    level's length in common. One whose border is set already tells nothing new, nor does what comes from it. So each
+    border is set once, and the intervals of all levels together are no more than the suffixes.
+    """
+    n, k = len(text), len(ends)
+    order, rank = suffix_array(text, ends)
+    before = order - 1  # of the first suffix the last sign
+    bwt, last_first = text[before], rank[before].astype(np.int32)
+    border = np.zeros(n + 1, bool)  # border[i]: the suffixes of ranks i - 1 and i differ before `length`
+    border[0] = border[n] = True
+    low, high = np.array([0]), np.array([n - 1])
+    for level in range(length):
         many = high - low + 1
         interval = np.repeat(np.arange(len(low)), many)
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        real = bwt[at] >= signs
-        at, interval = at[real], interval[real]
+        at = np.arange(len(interval)) + np.repeat(low - (np.cumsum(many) - many), many)
+        if level:  # a sign can only be the last symbol of a common string's extension
+            real = bwt[at] >= k
+            at, interval = at[real], interval[real]
         if not len(at):
             break
         to = last_first[at]
-        by = np.argsort(interval * n + to, kind="stable")
-        to, interval, sym = to[by], interval[by], bwt[at][by]
-        first = np.flatnonzero(np.r_[True, (interval[1:] != interval[:-1]) | (sym[1:] != sym[:-1])])
-        new_low, new_high = to[first], to[np.r_[first[1:] - 1, len(to) - 1]]
-        added = bytes_of[sym[first]]
-        own = interval[first]
-        new_total = total[own] + added
-        new_tail = np.where(tail[own] < 0, added, tail[own])
-        keep = ~border[new_high + 1] & (new_total - new_tail < least)
-        low, high, total, tail = new_low[keep], new_high[keep], new_total[keep], new_tail[keep]
+        by = np.argsort(to)
+        to, interval, symbol = to[by], interval[by], bwt[at[by]]
+        first = np.flatnonzero(np.r_[True, (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1])])
+        low, high = to[first].astype(np.int64), to[np.r_[first[1:] - 1, len(to) - 1]].astype(np.int64)
+        keep = ~border[high + 1]
+        low, high = low[keep], high[keep]
         border[high + 1] = True
-    open_ = ~border
-    joined = np.zeros(n, bool)  # by rank
-    joined |= open_[:n]
-    joined[:-1] |= open_[1:n]
-    out = np.zeros(n + 1, bool)
-    out[order] = joined
+    out = np.zeros(n, bool)
+    out[order] = ~border[:-1] | ~border[1:]
     return out
 
 
+def repeated_windows(content: list[bytes], windows: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each of the distinct contents, which of its windows also start elsewhere among all."""
+    size = np.array([len(c) + 1 for c in content], np.int64)
+    ends = np.cumsum(size) - 1
+    text = np.frombuffer(b"\0".join(content) + b"\0", np.uint8).astype(np.int32) + len(content)
+    text[ends] = np.arange(len(content))
+    flags, first = repeated_suffixes(text, ends, length), ends - size + 1
+    return [flags[a : a + n] for a, n in zip(first.tolist(), windows.tolist(), strict=True)]
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _digests(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Two longs for each of the byte strings, which nobody can make equal for unlike ones."""
+    blake = hashlib.blake2b
+    own = b"".join([blake(data[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), stop.tolist(), strict=True)])
+    return np.frombuffer(own, np.int64).reshape(-1, 2)
+
+
 def _release(spark: SparkSession) -> None:
     """Shuffle files go once the JVM sees that nothing refers to them."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, its text not null, with `__runs`: array of (start, windows, sign), of which windows repeat and which don't; see spans_of().
+def _each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts 2, 3: the owners 0, 0, 1, 1, 1 and the places 0, 1, 0, 1, 2."""
+    own = np.repeat(np.arange(len(count)), count)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _binary(data: bytes, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    return pa.array([data[x:y] for x, y in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, runs_col: str = "runs") -> DataFrame:
+    """docs, its text not null, with runs_col: array of (start, windows, sign), of which windows repeat and which don't; see spans_of().
 
-    Rows are told apart by id and text; rows equal in both are documents of their own that repeat each other.
+    Rows are told apart by id and text; rows equal in both are documents of their own that repeat each other. `length`
+    is more than GRAM. Columns of docs keep their names; helper columns take names that docs has not.
     """
+    if length <= GRAM:
+        raise ValueError(f"length must be more than {GRAM}")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.withColumn(text_col, text_of(text_col)).withColumn("__key", F.xxhash64(text_col))
-    texts = source.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    key_col, i_col, k_col = own_names(docs.columns + [runs_col], "key", "i", "k")
+    source = docs.withColumn(text_col, text_of(text_col)).withColumn(key_col, F.xxhash64(text_col))
+    texts = source.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = arrow_bytes(b.column(2))
             for i, j in _slices(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                row, start, n, place, h = segments(part, own)
-                whole, first = part.tobytes(), own[row] + start
-                digest = xxhash.xxh3_128_digest
-                sums = b"".join([digest(whole[x:y]) for x, y in zip(first.tolist(), (first + n + LENGTH - 1).tolist(), strict=True)])
-                g = np.frombuffer(sums, np.int64).reshape(-1, 2)
+                row, start, n, place, h = segments(part, own, length)
+                first = own[row] + start
+                g = _digests(part.tobytes(), first, first + n + length - 1)
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array(h.view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))],
@@ -247,20 +254,18 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(found.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("c"), one).select("h", "c", "one.*"), "classes")
     open_ = classes.groupBy("h").agg(F.count(F.lit(1)).alias("distinct"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
     open_ = materialize(open_.where("distinct > 1 and single > 0").select("h", (F.col("distinct") > HOT).alias("hot")), "open")
-    asked = classes.join(open_, "h").groupBy("id", "key").agg(F.collect_list(F.struct("h", "c", "hot", "start", "n", "place")).alias("asked"))
+    asked = classes.join(open_.hint("merge"), "h").groupBy("id", "key").agg(F.collect_list(F.struct("h", "c", "hot", "start", "n", "place")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "h", "c", "hot", "start", "n", "place", "content"]
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for key_id, key, text, asked in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
-                data = text.as_py().encode()
-                for a in asked.as_py():
-                    s, n = a["start"], a["n"]
-                    for x, v in zip(out, (key_id.as_py(), key.as_py(), a["h"], min(a["c"], 2), a["hot"], s, n, a["place"], data[s : s + n + LENGTH - 1]), strict=True):
-                        x.append(v)
-            types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+            data, offsets = arrow_bytes(b.column(2))
+            lists = b.column(3)
+            each = pa.RecordBatch.from_struct_array(lists.flatten())
+            own = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            first, n = offsets[own] + _column(each, "start"), _column(each, "n")
+            take = pa.array(own)
+            arrays = [b.column(0).take(take), b.column(1).take(take), *each.columns, _binary(data.tobytes(), first, first + n + length - 1)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "key", *each.schema.names, "content"])
 
     joined = texts.join(asked.withColumnsRenamed({"id": "i", "key": "k"}).hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
     content = joined.select("id", "key", "text", "asked").mapInArrow(cut, f"id {kind}, key long, h long, c long, hot boolean, start int, n int, place int, content binary")
@@ -268,89 +273,92 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(classes)
     discard(open_)
     _release(spark)
-    size = content.where("not hot").agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
-    bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, size // BUCKET_BYTES))).alias("bucket")
+    single = [_expanded(content.where("not hot"), [F.col("h")], length), *_split_hot(content.where("hot"), kind, length)]
+    out = single[0]
+    for more in single[1:]:
+        out = out.union(more)
+    single = materialize(out, "single")
+    discard(content)
+    _release(spark)
+    sign = lambda df, s: df.select("id", "key", F.struct("start", "n", F.lit(s).alias("sign")).alias("run"))
+    runs = sign(found, 1).union(sign(single, -1)).groupBy("id", "key").agg(F.collect_list("run").alias(runs_col))
+    runs = runs.withColumnsRenamed({"id": i_col, "key": k_col})
+    return source.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col(i_col)) & (F.col(key_col) == F.col(k_col)), "left").drop(i_col, k_col, key_col)
+
+
+def _expanded(rows: DataFrame, group: list, length: int) -> DataFrame:
+    """Runs (id, key, start, n) of windows that occur once, of rows (id, key, c, start, n, content) that are distinct in a group.
+
+    The rows of a group meet in one task; groups are packed into buckets, as equal windows are of one group.
+    """
+    size = rows.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    bucket = F.pmod(F.xxhash64(*group), F.lit(max(1, size // BUCKET_BYTES))).alias("bucket")
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = repeated_windows(pdf["content"].tolist(), pdf["n"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64))
-        at, start, length = [], [], []
+        flags = repeated_windows(pdf["content"].tolist(), pdf["n"].to_numpy(np.int64), length)
+        at, start, n = [], [], []
         for i, (again, c, s) in enumerate(zip(flags, pdf["c"], pdf["start"], strict=True)):
             if c == 1:
                 a, b = _runs(~again)
                 at += [i] * len(a)
                 start.append(a + s)
-                length.append(b - a)
+                n.append(b - a)
         out = pdf[["id", "key"]].iloc[at].reset_index(drop=True)
         out["start"] = np.concatenate([*start, np.zeros(0, np.int64)]).astype(np.int32)
-        out["n"] = np.concatenate([*length, np.zeros(0, np.int64)]).astype(np.int32)
+        out["n"] = np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int32)
         return out
 
-    cold = content.where("not hot").select(bucket, "id", "key", "c", "start", "n", "content").groupBy("bucket").applyInPandas(expand, f"id {kind}, key long, start int, n int")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select(bucket, "id", "key", "c", "start", "n", "content").groupBy("bucket").applyInPandas(expand, f"id {kind}, key long, start int, n int")
 
-    by_block, by_window = _hot_windows(content.where("hot").select("id", "key", "h", "c", "start", "n", "place", "content"), kind)
-    single = materialize(cold.union(by_block).union(by_window), "single")
-    discard(content)
-    _release(spark)
-    sign = lambda df, s: df.select("id", "key", F.struct("start", "n", F.lit(s).alias("sign")).alias("run"))
-    runs = sign(found, 1).union(sign(single, -1)).groupBy("id", "key").agg(F.collect_list("run").alias("__runs"))
-    runs = runs.withColumnsRenamed({"id": "__i", "key": "__k"})
-    return source.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")), "left").drop("__i", "__k", "__key")
 
-
-def _hot_windows(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+def _split_hot(rows: DataFrame, kind: str, length: int) -> list[DataFrame]:
     """Runs (id, key, start, n) of windows that occur once, of segments whose anchor is shared by too many for one task.
 
-    Windows are taken in blocks of BLOCK, counted from the anchor. All windows of a block hold its core, so blocks whose
-    core occurs once have single windows only; blocks that are equal throughout repeat in all windows. Only distinct
-    blocks of one core are told apart window by window. Each step is a count with partial sums, whatever a key's share.
+    Each step is a count with partial sums, whatever a key's share, or an expansion of at most HOT distinct contents.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "h", "c", "block", "core", "f1", "f2", "start", "n", "content"]
         for b in batches:
-            out: list[list] = [[] for _ in names[2:]]
-            take = []
-            for i, (h, c, start, n, place, content) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 8)), strict=True)):
-                first = 0
-                while first < n:
-                    block = (first - place) // BLOCK
-                    low = block * BLOCK + place  # the block's first window, here or before the segment
-                    end = min(n, low + BLOCK)
-                    core = xxhash.xxh3_64_intdigest(content[low + BLOCK - 1 : low + LENGTH], seed=block & 0xFFFF)
-                    whole = content[first : end - 1 + LENGTH]
-                    full = xxhash.xxh3_128_digest(whole, seed=first - low)
-                    take.append(i)
-                    for x, v in zip(out, (h, c, block, core - (1 << 64) if core >> 63 else core, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True), start + first, end - first, whole), strict=True):
-                        x.append(v)
-                    first = end
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=names)
-
-    cut = rows.mapInArrow(blocks, f"id {kind}, key long, h long, c long, block int, core long, f1 long, f2 long, start int, n int, content binary")
+            data, offsets = arrow_bytes(b.column(5))
+            text = data.tobytes()
+            n, place = _column(b, "n").astype(np.int64), _column(b, "place").astype(np.int64)
+            low = -place // BLOCK  # the block of the segment's first window, counted from the anchor
+            own, no = _each((n - 1 - place) // BLOCK - low + 1)
+            block = low[own] + no
+            full = block * BLOCK + place[own]  # the block's first window, in this segment or before it
+            first, stop = np.maximum(full, 0), np.minimum(full + BLOCK, n[own])
+            at = offsets[own]
+            core = _digests(text, at + full + BLOCK - 1, at + full + length)
+            whole = _digests(text, at + first, at + stop + length - 1)
+            take = pa.array(own)
+            arrays = [b.column(i).take(take) for i in (0, 1, 2, 3)] + [pa.array(x) for x in (block.astype(np.int32), core[:, 0], core[:, 1], whole[:, 0], whole[:, 1], (first - full).astype(np.int32), (_column(b, "start")[own] + first).astype(np.int32), (stop - first).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*arrays, _binary(text, at + first, at + stop + length - 1)], names=names)
+
+    names = ["id", "key", "h", "c", "block", "core1", "core2", "f1", "f2", "skip", "start", "n", "content"]
+    key = ["h", "block", "core1", "core2"]
+    cut = rows.select("id", "key", "h", "c", "start", "content", "n", "place").mapInArrow(blocks, f"id {kind}, key long, h long, c long, block int, core1 long, core2 long, f1 long, f2 long, skip int, start int, n int, content binary")
     one = F.first(F.struct("id", "key", "start", "n", "content")).alias("one")
-    classes = materialize(cut.groupBy("h", "block", "core", "f1", "f2").agg(F.sum("c").alias("c"), one).select("h", "block", "core", "c", "one.*"), "blocks")
-    cores = classes.groupBy("h", "block", "core").agg(F.count(F.lit(1)).alias("distinct"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
-    cores = materialize(cores.where("single > 0").select("h", "block", "core", "distinct"), "cores")
-    told = classes.join(cores.hint("merge"), ["h", "block", "core"])
+    classes = materialize(cut.groupBy(*key, "f1", "f2", "skip").agg(F.sum("c").alias("c"), one).select(*key, "c", "one.*"), "blocks")
+    cores = classes.groupBy(*key).agg(F.count(F.lit(1)).alias("distinct"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
+    cores = materialize(cores.where("single > 0").select(*key, "distinct"), "cores")
+    told = materialize(classes.join(cores.hint("merge"), key), "told")
+    alone = told.where("distinct = 1").select("id", "key", "start", "n")
+    shared = _expanded(told.where(f"distinct > 1 and distinct <= {HOT}"), [F.col(k) for k in key], length)
 
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = arrow_bytes(b.column(5))
-            n = b.column(4).to_numpy().astype(np.int64)
-            for i, j in _slices(offsets):
-                part, own, count = data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], n[i:j]
-                row = np.repeat(np.arange(j - i), count)
-                no = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                w = [_range_hash(_prefix_hash(part, base), own[row] + no, own[row] + no + LENGTH).view(np.int64) for base in BASES]
-                take = pa.array(row + i)
-                start = b.column(3).to_numpy()[i:j][row] + no.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(start)], names=["w1", "w2", "id", "key", "c", "start"])
-
-    asked = told.where("distinct > 1").select("id", "key", F.least("c", F.lit(2)).cast("long").alias("c"), "start", "n", "content")
-    windows = asked.mapInArrow(each_window, f"w1 long, w2 long, id {kind}, key long, c long, start int")
+            data, offsets = arrow_bytes(b.column(4))
+            own, no = _each(_column(b, "n").astype(np.int64))
+            first = offsets[own] + no
+            w = _digests(data.tobytes(), first, first + length)
+            take = pa.array(own)
+            start = _column(b, "start")[own] + no.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *(b.column(i).take(take) for i in (0, 1, 2)), pa.array(start)], names=["w1", "w2", "id", "key", "c", "start"])
+
+    windows = told.where(f"distinct > {HOT}").select("id", "key", "c", "start", "content", "n").mapInArrow(each_window, f"w1 long, w2 long, id {kind}, key long, c long, start int")
     windows = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c"), F.first(F.struct("id", "key", "start")).alias("one")).where("c = 1")
-    return told.where("distinct = 1 and c = 1").select("id", "key", "start", "n"), windows.select("one.*", F.lit(1).alias("n"))
+    return [alone, shared, windows.select("one.*", F.lit(1).alias("n"))]
 
 
 def spans_of(size: int, runs: list[dict] | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -368,7 +376,7 @@ def spans_of(size: int, runs: list[dict] | None, length: int = LENGTH) -> tuple[
     return a[new], b[np.r_[np.flatnonzero(new)[1:] - 1, len(b) - 1]]
 
 
-def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row; null and empty texts have no bytes to remove."""
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -377,7 +385,7 @@ def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for text, runs in zip(b.column(1), b.column(2), strict=True):
                 data = text.as_py().encode()
-                a, z = spans_of(len(data), runs.as_py())
+                a, z = spans_of(len(data), runs.as_py(), length)
                 kept = hashlib.sha256()
                 for x, y in zip([0, *z.tolist()], [*a.tolist(), len(data)], strict=True):
                     kept.update(data[x:y])
@@ -386,22 +394,24 @@ def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = removed_spans(docs.select(id_col, text_col), id_col, text_col).select(id_col, text_col, "__runs")
+    (runs_col,) = own_names([id_col, text_col], "runs")
+    rows = removed_spans(docs.select(id_col, text_col), id_col, text_col, length, runs_col).select(id_col, text_col, runs_col)
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with all repeated passages cut out of the text; a character goes if any of its bytes does. Null texts stay null."""
     columns = docs.columns
     at = columns.index(text_col)
-    was_null = docs.withColumn("__null", F.col(text_col).isNull())
+    null_col, runs_col = own_names(columns, "null", "runs")
+    was_null = docs.withColumn(null_col, F.col(text_col).isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, runs, null in zip(b.column(at), b.column(len(columns) + 1), b.column(len(columns)), strict=True):
                 data = text.as_py().encode()
-                a, z = spans_of(len(data), runs.as_py())
+                a, z = spans_of(len(data), runs.as_py(), length)
                 parts = [data[x:y].decode(errors="ignore") for x, y in zip([0, *z.tolist()], [*a.tolist(), len(data)], strict=True)]
                 out.append(None if null.as_py() else "".join(parts))
             arrays = list(b.columns[: len(columns)])
@@ -409,4 +419,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return removed_spans(was_null, id_col, text_col).select(*[F.col(f"`{c}`") for c in columns], "__null", "__runs").mapInArrow(run, schema)
+    return removed_spans(was_null, id_col, text_col, length, runs_col).select(*[F.col(f"`{c}`") for c in columns], null_col, runs_col).mapInArrow(run, schema)
