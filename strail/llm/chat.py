@@ -9,20 +9,34 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from enum import Enum
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-START, END = "start", "end"
+
+class Edge(Enum):
+    """States before the first and after the last turn; no role equals them, whatever its name."""
+
+    START = "start"
+    END = "end"
+
+
+START, END = Edge.START, Edge.END
+
+
+def _name(state: str | Edge) -> str:
+    return f"<{state.value}>" if isinstance(state, Edge) else state
 
 
 @dataclass(frozen=True)
 class Template:
     """open/close: what stands before and after a role's text; moves: the roles allowed after each state; loss: trained roles.
 
-    Inside texts the escape character is doubled, and each control string gets the escape character before its first
-    character; this is undone exactly by dropping each escape character and keeping the one behind it.
+    Inside texts the escape character is doubled, and each control string gets the escape character behind its first
+    character, so that none stands whole; this is undone exactly by dropping each escape character and keeping the one
+    behind it. Names of other roles have the first characters of all control strings, `]` and `%` as %XX.
     """
 
     open: dict[str, str] = field(default_factory=lambda: {"system": "<s>[SYS] ", "user": "<s>[INST] ", "assistant": "<s>[ANS] "})
@@ -36,13 +50,19 @@ class Template:
     def marks(self, role: str) -> tuple[str, str]:
         if role in self.open:
             return self.open[role], self.close[role]
-        name = role.replace("%", "%25").replace("]", "%5D")
-        return self.other[0].replace("{role}", name), self.other[1]
+        for c in self.coded:
+            role = role.replace(c, f"%{ord(c):02X}")
+        return self.other[0].replace("{role}", role), self.other[1]
+
+    @property
+    def coded(self) -> list[str]:
+        """Characters that role names don't hold as such, the one that marks the others first."""
+        return ["%", *sorted({"]", *(c[0] for c in self.controls)})]
 
     def escaped(self, text: str) -> str:
         text = text.replace(self.escape, self.escape * 2)
         for c in self.controls:
-            text = text.replace(c, self.escape + c)
+            text = text.replace(c, c[0] + self.escape + c[1:])
         return text
 
     def unescaped(self, text: str) -> str:
@@ -67,21 +87,16 @@ class Template:
             if role is not None:
                 i += len(self.open[role])
             elif formatted.startswith(head[0], i) and (stop := formatted.find(head[2], i)) >= 0:
-                role = formatted[i + len(head[0]) : stop].replace("%5D", "]").replace("%25", "%")
+                role = formatted[i + len(head[0]) : stop]
+                for c in reversed(self.coded):
+                    role = role.replace(f"%{ord(c):02X}", c)
                 i = stop + len(head[2])
             else:
                 raise ValueError(f"no turn at {i}")
-            close, at = self.marks(role)[1], i
-            while True:  # the first closing mark whose control string isn't escaped
-                stop = formatted.find(close, at)
-                if stop < 0:
-                    raise ValueError(f"turn at {i} does not end")
-                backs = 0
-                while stop - 1 - backs >= i and formatted[stop - 1 - backs] == self.escape:
-                    backs += 1
-                if backs % 2 == 0:
-                    break
-                at = stop + 1
+            close = self.marks(role)[1]
+            stop = formatted.find(close, i)  # no text holds a whole control string
+            if stop < 0:
+                raise ValueError(f"turn at {i} does not end")
             turns.append((role, self.unescaped(formatted[i:stop])))
             i = stop + len(close)
         return turns
@@ -111,10 +126,10 @@ def format_turns(conversations: DataFrame, template: Template = Template(), conv
             for c, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if first or c != conv:
                     if held is not None:
-                        out.append((*held[:6], None if END in template.moves.get(state, ()) else f"{state} to {END}"))
+                        out.append((*held[:6], None if END in template.moves.get(state, ()) else f"{_name(state)} to {_name(END)}"))
                         held = None
                     conv, state, no, first = c, START, 0, False
-                broken = None if role in template.moves.get(state, ()) else f"{state} to {role}"
+                broken = None if role in template.moves.get(state, ()) else f"{_name(state)} to {role}"
                 if held is not None:
                     out.append(held)
                 parts = template.segments(role, text)
@@ -122,7 +137,7 @@ def format_turns(conversations: DataFrame, template: Template = Template(), conv
                 held, state, no = out.pop(), role, no + 1
             yield _batch(out)
         if held is not None:
-            yield _batch([(*held[:6], None if END in template.moves.get(state, ()) else f"{state} to {END}")])
+            yield _batch([(*held[:6], None if END in template.moves.get(state, ()) else f"{_name(state)} to {_name(END)}")])
 
     return rows.mapInArrow(run, SEGMENTS)
 
@@ -134,12 +149,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_TYPES)], names=[n for n, _ in _TYPES])
 
 
-def read_back(segments: DataFrame, template: Template = Template(), conv_col: str = "conv_id") -> DataFrame:
+def read_back(segments: DataFrame, template: Template = Template(), conv_col: str = "conv_id", in_order: bool = False) -> DataFrame:
     """Per conversation, from its segments alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid.
 
-    Reads the segments in the order and partitions of format_turns(); a turn is parsed from the text of its segments,
-    so memory is bounded by a turn.
+    A turn is parsed from the text of its segments, so memory is bounded by a turn. in_order: the segments come straight
+    from format_turns(), in its order and partitions; others, such as those of a written table, are brought into order.
     """
+    if not in_order:
+        segments = segments.select([n for n, _ in _TYPES]).repartition("conv").sortWithinPartitions("conv", "turn_no", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, open_, turns, loss, n, chars, total, valid, turn = None, False, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True, []
