@@ -8,26 +8,28 @@ n-gram is out of its place in the language's profile; n-grams that the language
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strail.llm.common import fold, text_of
+from strail.llm.common import fold, own_names, text_of
 
 LENGTHS = (1, 2, 3)
 PROFILE = 400  # n-grams in a language's profile
 TOP = 300  # n-grams in a document's profile
 PER_LANGUAGE = 400  # documents that a language is learned from: this many are expected, twice as many the most
 WORDS = 200_000  # words whose n-grams a worker remembers
-SPARE = 1 << 14  # places for n-grams of no profile, by hash
+SPARE = 1 << 16  # n-grams of no profile that a worker remembers; more are forgotten before the next text
 
-_letters = re.compile(r"[^\W\d_]+").findall
+#: Signs of numbers that are neither decimal digits nor letters, such as fractions: \w takes them in.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_letters = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+").findall
 
 
 def grams(word: str) -> list[str]:
@@ -67,7 +69,7 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
+        self.model, self.seen, self.spare = model, {}, {}
 
     def columns(self, word: str) -> list[int]:
         got = self.seen.get(word)
@@ -75,7 +77,8 @@ class Scorer:
             place, n = self.model.place, len(self.model.place)
             padded = f" {word} "
             all_of = [*word, *map("".join, zip(padded, word)), word[-1] + " ", *map("".join, zip(padded, word, padded[2:]))]  # as grams() gives them
-            got = [place[g] if g in place else n + xxhash.xxh32_intdigest(g) % SPARE for g in all_of]
+            spare = self.spare
+            got = [place[g] if g in place else n + spare.setdefault(g, len(spare)) for g in all_of]
             if len(self.seen) >= WORDS:
                 self.seen.clear()
             if len(word) < 64:
@@ -87,6 +90,8 @@ class Scorer:
         words = word_counts(text)
         if not words or not self.model.langs:
             return "und", 0.0
+        if len(self.spare) > SPARE:
+            self.spare, self.seen = {}, {}
         columns, parts = self.columns, []
         sizes = []
         for w in words:
@@ -94,9 +99,9 @@ class Scorer:
             parts += got
             sizes.append(len(got))
         weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
-        counts = np.bincount(np.array(parts, np.int64), weights, len(self.model.place) + SPARE)
+        counts = np.bincount(np.array(parts, np.int64), weights, len(self.model.place) + len(self.spare))
         ids = np.flatnonzero(counts)
-        order = np.lexsort((ids, -counts[ids]))[:TOP]
+        order = np.lexsort((ids, -counts[ids]))[:TOP]  # of equals those of no profile last; they are alike for the distance
         top = np.minimum(ids[order], len(self.model.place))
         ranks = self.model.ranks[:, top]
         away = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(top)))).sum(axis=1)
@@ -117,11 +122,11 @@ def fit(docs: DataFrame, mod: int = 4, held_out: int = 2, per_language: int = PE
     shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
     rolled = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) / 1e6
     rows = learn.select("lang", text_of().alias("text"), rolled.alias("roll")).join(F.broadcast(shares), "lang").where("roll < share").select("lang", "text")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))  # about per_language rows each
     samples: dict[str, list[str]] = {k: [] for k in counts}
-    for r in rows.limit(2 * per_language * len(counts)).collect():
+    for r in rows.withColumn("no", first).where(F.col("no") <= 2 * per_language).collect():
         samples[r["lang"]].append(r["text"])
-    return Model.fit({k: sorted(v)[: 2 * per_language] for k, v in samples.items()})
-
+    return Model.fit({k: sorted(v) for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -136,4 +141,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["lang_pred string", "score double"])
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias(own_names(rest, "text")[0])).mapInArrow(run, schema)
