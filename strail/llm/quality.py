@@ -32,9 +32,9 @@ _runs = re.compile(r"(.)\1+")
 
 
 def shape(token: str) -> str:
-    """Letters as a or A, digits as 0, runs of one sign as two: `Hello` is `Aaa`, `!!!!` is `!!`."""
+    """Letters as a or A, digits as 0, runs of one sign as two: `Hello` is `Aaa`, `!!!!` is `!!`; of the whole token."""
     s = token.translate(_shape) if token.isascii() else "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
-    return _runs.sub(r"\1\1", s[:64])
+    return _runs.sub(r"\1\1", s)
 
 
 def index_vectors(tokens: list[str]) -> np.ndarray:
