@@ -2,7 +2,8 @@
 
 The cells only steer the search; the links are exact. For a vector x of cell c and any y of cell d with an angle of at
 most t between them, the plane that halves c and d is within t of x, so x.(c - d) <= sin(t) |c - d|. Each vector
-visits every smaller cell for which this holds; so each linked pair meets in the smaller of its two cells.
+visits every smaller cell for which this holds; so each linked pair meets in the smaller of its two cells. Labels of
+few vectors are one cell each, and need no centroids.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strail.llm.blocks import compare
-from strail.llm.common import materialize
+from strail.llm.common import discard, materialize
 from strail.llm.components import connected_components
 
-SAMPLE = 20_000  # vectors that the centroids are fitted on, at most
-CELL_ROWS = 1500  # vectors a cell is meant to hold
-MAX_CELLS = 512
+SAMPLE = 20_000  # vectors that the centroids are fitted on, about
+CELL_ROWS = 2048  # vectors a cell is meant to hold
+MAX_CELLS = 4096  # of all labels together, as each task holds the centroids; beyond it cells grow and are compared in more chunks
 
 
 def fit_cells(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -37,8 +39,51 @@ def fit_cells(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.nda
     return c
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def _matrix(column: pd.Series, kind: np.dtype) -> np.ndarray:
+    """The packed vectors as rows of unit length, in double precision."""
+    x = np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _packed(lists: pa.Array, kind: np.dtype) -> pa.Array:
+    """The bytes of each vector; null for those that are null, empty or zero or hold null or non-finite parts."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    stop = np.cumsum(size)
+    start, some = stop - size, size > 0
+    ok = some.copy()
+    if some.any():
+        ok[some] = ~np.logical_or.reduceat(~np.isfinite(values), start[some]) & np.logical_or.reduceat(values != 0, start[some])
+    data, w = values.tobytes(), kind.itemsize
+    return pa.array([data[x * w : y * w] if good else None for x, y, good in zip(start.tolist(), stop.tolist(), ok.tolist(), strict=True)], pa.binary())
+
+
+def _nodes(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with `node`, a hash of label and vector that no two unlike ones share, and the distinct ones (by, x, node, least, n)."""
+    for seed in range(8):
+        known = materialize(rows.withColumn("node", F.when(valid, F.xxhash64("by", "x", F.lit(seed)))), "vectors")
+        classes = known.where("node is not null").groupBy("by", "x", "node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+        classes = materialize(classes, "classes")
+        if classes.groupBy("node").count().where("count > 1").isEmpty():
+            return known, classes
+        discard(known)
+        discard(classes)
+    raise RuntimeError("hashes of unlike vectors collide for eight seeds")
+
+
+def _centroids(classes: DataFrame, kind: np.dtype) -> dict[tuple[int, str], np.ndarray]:
+    """Centroids of each (bytes of a vector, label) with more vectors than a cell is meant to hold; MAX_CELLS in all at most."""
+    group = classes.groupBy(F.length("x").alias("d"), "by").agg(F.count(F.lit(1)).alias("n"))
+    rows = max(CELL_ROWS, classes.count() // MAX_CELLS)
+    large = {(r["d"], r["by"]): r["n"] for r in group.where(F.col("n") > rows).collect()}  # as many as cells at most
+    if not large:
+        return {}
+    share = min(1.0, SAMPLE / sum(large.values()))
+    names = classes.sparkSession.createDataFrame([(d, by) for d, by in large], "d int, by string")
+    drawn = classes.where(F.pmod("node", F.lit(1_000_000)) < share * 1e6).select(F.length("x").alias("d"), "by", "x")
+    got = drawn.join(F.broadcast(names), ["d", "by"]).orderBy("d", "by", "x").toPandas()
+    return {k: fit_cells(_matrix(part["x"], kind), min(len(part), -(-large[k] // rows))) for k, part in got.groupby(["d", "by"])}
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", by: str = "label") -> DataFrame:
@@ -50,55 +95,42 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     nothing. Copies of one vector are one node, counted as often as they occur. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    kind = vectors.schema[id_col].dataType.simpleString()
+    id_kind = vectors.schema[id_col].dataType.simpleString()
+    kind = np.dtype("<f4") if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else np.dtype("<f8")
+    listed = F.col(vec_col).cast("array<float>" if kind.itemsize == 4 else "array<double>")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = []
-            for v in b.column(1).to_pylist():
-                x = np.array([np.nan if p is None else p for p in v], np.float64) if v else np.zeros(0)
-                top = np.abs(x).max(initial=0)
-                if not len(x) or not np.isfinite(x).all() or top == 0:
-                    unit.append(None)
-                else:
-                    x = x / top
-                    unit.append((x / np.sqrt(x @ x)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(unit, pa.binary())], names=["id", "by", "x"])
-
-    key = F.col(by).cast("string")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), key.alias("by")).mapInArrow(pack, f"id {kind}, by string, x binary")
-    valid = F.col("id").isNotNull() & F.col("by").isNotNull() & F.col("x").isNotNull()
-    rows = materialize(rows.withColumn("node", F.when(valid, F.xxhash64("by", "x"))), "vectors")
-    classes = rows.where("node is not null").groupBy("by", "x", "node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes, "classes")
-    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.length("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    centroids: dict[int, np.ndarray] = {}
-    for d, n in sizes.items():
-        k = int(min(MAX_CELLS, max(1, n // CELL_ROWS)))
-        got = classes.where(F.length("x") == d).orderBy(F.xxhash64("node")).select("x").limit(SAMPLE).toPandas() if k > 1 else None
-        centroids[d] = fit_cells(_matrix(got["x"]), k) if k > 1 else np.zeros((1, d // 8))
-    shared = spark.sparkContext.broadcast(centroids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _packed(b.column(1), kind)], names=["id", "by", "x"])
+
+    rows = vectors.select(F.col(id_col).alias("id"), listed.alias("v"), F.col(by).cast("string").alias("by")).mapInArrow(pack, f"id {id_kind}, by string, x binary")
+    rows, classes = _nodes(rows, F.col("id").isNotNull() & F.col("by").isNotNull() & F.col("x").isNotNull())
+    shared = spark.sparkContext.broadcast(_centroids(classes, kind))
     slack = float(np.sqrt(max(0.0, 1 - threshold * threshold))) + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, gaps = shared.value, {}
         for b in batches:
-            pdf = b.to_pandas()
-            for _, part in pdf.groupby(pdf["x"].str.len()):
-                x, c = _matrix(part["x"]), shared.value[len(part["x"].iat[0])]
-                dots = x @ c.T
-                home = np.argmax(dots, axis=1)
-                gap = np.sqrt(np.maximum(0, ((c[:, None] - c[None, :]) ** 2).sum(axis=2)))
-                margin = dots[np.arange(len(x)), home][:, None] - dots
-                at, cell = np.nonzero((margin <= slack * gap[home] + 1e-12) & (np.arange(len(c)) <= home[:, None]))
+            for key, part in b.to_pandas().groupby([pc.binary_length(b.column(1)).to_numpy(), "by"], sort=False):
+                c = cells.get(key)
+                cell, home, at = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.arange(len(part))
+                if c is not None:
+                    if key not in gaps:
+                        square = (c * c).sum(axis=1)
+                        gaps[key] = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * (c @ c.T))) + 1e-7
+                    dots = _matrix(part["x"], kind) @ c.T
+                    home = np.argmax(dots, axis=1)
+                    margin = dots[np.arange(len(dots)), home][:, None] - dots
+                    at, cell = np.nonzero((margin <= slack * gaps[key][home] + 1e-12) & (np.arange(len(c)) <= home[:, None]))
                 part = part.iloc[at]
-                part = part.assign(cell=[f"{len(v)}:{i}:{by}" for v, i, by in zip(part["x"], cell, part["by"], strict=True)], home=cell == home[at])
+                part = part.assign(cell=[f"{key[0]}:{i}:{key[1]}" for i in cell], home=cell == home[at])
                 yield pa.RecordBatch.from_pandas(part[["cell", "home", "node", "w", "x"]], preserve_index=False)
 
     placed = classes.select("by", "x", "node", F.col("n").alias("w")).mapInArrow(place, "cell string, home boolean, node long, w long, x binary")
     placed = materialize(placed, "placed")
 
     def near(unit: pd.DataFrame) -> np.ndarray:
-        x = _matrix(unit["x"])
+        x = _matrix(unit["x"], kind)
         return x @ x.T >= threshold
 
     found = materialize(compare(placed, ["x"], near), "links")
