@@ -6,6 +6,11 @@ anchors of a 23-bit block are the words of the perfect Golay code (covering radi
 all of its values (radius 0). Each fingerprint lives at the one anchor within the covering radius, and is copied to
 each anchor within radius plus threshold (3 + 1, or 0 + 0) that is smaller than its own; a pair of different homes is
 thus met at the smaller home, and nowhere is a pair lost. Only distinct fingerprints are compared.
+
+A block has 4,096 anchors, so cells grow with the corpus. A cell of more than SPLIT fingerprints is divided once more,
+by the bits outside its block: two of its fingerprints differ there in at most four bits, so they differ in at most one
+bit of one of two sub-blocks, or not at all in the rest (else 2 + 2 + 1 = 5). Each fingerprint goes to its three values
+and, for the two, to those that lack one of its ones. That is about 17 rows for each, however large the cell was.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strail.llm.blocks import compare
-from strail.llm.common import materialize, text_of
+from strail.llm.blocks import BLOCK, compare
+from strail.llm.common import materialize, own_names, text_of
 from strail.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
+SPLIT = 17 * BLOCK  # beyond it comparing a cell in chunks takes more copies than dividing it
 GOLAY = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, the generator of the (23, 12) code
 
 
@@ -114,6 +120,42 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), pa.array(fp[index]), pa.array(np.ones(len(index), np.int64))], names=["cell", "home", "node", "w"])
 
 
+def sub_cells(fp: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (index into fp, cell, home) of fingerprints in large cells, at the values of the bits outside the cell's block."""
+    u, block = fp.view(np.uint64), cell & 3
+    low, high = u & np.uint64((1 << 23) - 1), u >> np.uint64(46)
+    rest = np.select([block == 0, block == 1], [u >> np.uint64(23), low | high << np.uint64(23)], u & np.uint64((1 << 46) - 1)).astype(np.int64)
+    all_of = np.arange(len(u))
+    index, cells, homes = [], [], []
+    for part, value in enumerate((rest & 0x3FFF, rest >> 14 & 0x3FFF, rest >> 28)):
+        base = (cell * 4 + part + 1) << 18
+        index.append(all_of)
+        cells.append(base + value)
+        homes.append(np.ones(len(u), bool))
+        for bit in range(14 if part < 2 else 0):
+            at = np.flatnonzero(value >> bit & 1)
+            index.append(at)
+            cells.append(base[at] + (value[at] ^ 1 << bit))
+            homes.append(np.zeros(len(at), bool))
+    return np.concatenate(index), np.concatenate(cells), np.concatenate(homes)
+
+
+def _sub_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = b.column(0).to_numpy(zero_copy_only=False)
+        index, cell, home = sub_cells(fp, b.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), pa.array(fp[index]), pa.array(np.ones(len(index), np.int64))], names=["cell", "home", "node", "w"])
+
+
+def split_large(cells: DataFrame, most: int) -> DataFrame:
+    """cells with those of more than `most` rows divided. There a pair may meet twice, so links can't be counted after it."""
+    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("cell")
+    large = F.broadcast(materialize(large, "large"))  # as many as anchors at most, and as rows by `most`
+    parts = cells.join(large, "cell", "left_semi").select("node", "cell").mapInArrow(_sub_cells, "cell long, home boolean, node long, w long")
+    small = cells.join(large, "cell", "left_anti").select((F.col("cell") * 4 * (1 << 18)).alias("cell"), "home", "node", "w")
+    return materialize(small.union(parts), "split")
+
+
 def _near(unit: pd.DataFrame) -> np.ndarray:
     x = unit["node"].to_numpy().view(np.uint64)
     near = np.empty((len(x), len(x)), bool)
@@ -131,7 +173,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     cells = materialize(classes.select("fp").mapInArrow(_cells, "cell long, home boolean, node long, w long"), "cells")
-    links = materialize(compare(cells, [], _near), "links")
+    links = materialize(compare(split_large(cells, SPLIT), [], _near), "links")
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "joined")
@@ -146,14 +188,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows of a component that has null ids only all stay, as nothing tells them apart.
     """
-    found = simhash_components(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("__id"), "component_id")
-    found = found.where(F.col("__id").eqNullSafe(F.col("component_id")))
-    ids = materialize(found.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")), "kept")
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    once = docs.join(ids.where("__n = 1 or __id is null").select("__id").hint("merge"), same, "left_semi")  # ids grow with the corpus
-    twice = ids.where("__n > 1 and __id is not null").select("__id")
+    own, n, row = own_names(docs.columns + ["component_id"], "own_id", "n", "row")
+    found = simhash_components(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias(own), "component_id")
+    found = found.where(F.col(own).eqNullSafe(F.col("component_id")))
+    ids = materialize(found.groupBy(own).agg(F.count(F.lit(1)).alias(n)), "kept")
+    same = F.col(id_col).eqNullSafe(F.col(own))
+    once = docs.join(ids.where(f"{n} = 1 or {own} is null").select(own).hint("merge"), same, "left_semi")  # ids grow with the corpus
+    twice = ids.where(f"{n} > 1 and {own} is not null").select(own)
     if twice.isEmpty():
         return once
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    first = docs.join(twice, same, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    first = docs.join(twice, same, "left_semi").withColumn(row, F.row_number().over(order)).where(f"{row} = 1").drop(row)
     return once.unionByName(first)
