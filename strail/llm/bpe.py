@@ -30,6 +30,8 @@ class Tables:
     """Ranks of a byte-level vocabulary, and how each token is made of two earlier ones."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= 1 << 20:
+            raise ValueError("token ids of 2^20 and more are not supported")
         self.ranks = ranks
         self.bytes_of = {t: b for b, t in ranks.items()}
         self.longest = max(map(len, ranks), default=0)

@@ -135,33 +135,36 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False, items_col: str = "__items") -> DataFrame:
     """(id, item_id, edits) for each item that a document holds with at most its allowed edits.
 
     Null and empty items match nothing, nor do null and empty texts; short items (under 24 normalized characters) match
     whole words without edits. A row is
     given for each document row, null and repeated ids included; an item id that repeats is given once, with the fewest
-    edits. With by_row the result has docs' columns and `__items`, an array of (item_id, edits), for all rows instead.
+    edits. With by_row the result has docs' columns and items_col, an array of (item_id, edits), for all rows instead;
+    a name that docs has already is refused.
     """
     columns = docs.columns
+    if by_row and items_col.lower() in {c.lower() for c in columns}:
+        raise ValueError(f"docs has a column {items_col} already")
     out: DataFrame | None = None
     current = docs
     for block in item_blocks(benchmark):
-        found = _match_block(current if by_row and out is not None else docs, block, budget, id_col, text_col, by_row, columns)
+        found = _match_block(current if by_row and out is not None else docs, block, budget, id_col, text_col, by_row, columns, items_col)
         if by_row:
             current = out = found
         else:
             out = found if out is None else out.union(found)
     if out is None:
         if by_row:
-            return docs.withColumn("__items", F.expr("cast(array() as array<struct<item_id: bigint, edits: int>>)"))
+            return docs.withColumn(items_col, F.expr("cast(array() as array<struct<item_id: bigint, edits: int>>)"))
         return docs.select(F.col(id_col), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("edits")).where("false")
     return out
 
 
-def _match_block(docs: DataFrame, block: list, budget: int, id_col: str, text_col: str, by_row: bool, columns: list[str]) -> DataFrame:
+def _match_block(docs: DataFrame, block: list, budget: int, id_col: str, text_col: str, by_row: bool, columns: list[str], items_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((block, budget))
-    more = by_row and "__items" in docs.columns
+    more = by_row and items_col in docs.columns
 
     def least(text: str, matcher: Matcher) -> list[tuple[int, int]]:
         got: dict[int, int] = {}
@@ -179,7 +182,7 @@ def _match_block(docs: DataFrame, block: list, budget: int, id_col: str, text_co
                 items = [[{"item_id": i, "edits": k} for i, k in least(t.as_py(), matcher)] for t in b.column(place)]
                 if more:
                     items = [[*a, *x] for a, x in zip(b.column(len(columns)).to_pylist(), items, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(items, kind)], names=[*columns, "__items"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(items, kind)], names=[*columns, items_col])
                 continue
             keys, ids, edits = [], [], []
             for key, t in zip(b.column(0), b.column(1), strict=True):
@@ -188,7 +191,7 @@ def _match_block(docs: DataFrame, block: list, budget: int, id_col: str, text_co
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(ids, pa.int64()), pa.array(edits, pa.int32())], names=[id_col, "item_id", "edits"])
 
     if by_row:
-        schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + ["__items array<struct<item_id: bigint, edits: int>>"])
+        schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"`{items_col}` array<struct<item_id: bigint, edits: int>>"])
         return docs.mapInArrow(run, schema)
     kind_of = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), text_of(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind_of}, item_id long, edits int")
