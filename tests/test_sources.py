@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from strail.sources import units as U
 from strail.streaming.ingest import stream_units, write_units_stream
@@ -56,6 +57,19 @@ def test_stream_gives_the_units_of_the_batch(spark, tmp_path):
     q = write_units_stream(stream_units(points), str(tmp_path / "out"), str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.select("trajectory_id", "unit_index").distinct().count() == got.count()
-    assert got.count() <= 27 and got.count() >= 9
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()}
+    batch = U.units_from_points(spark.createDataFrame(rows, schema).withColumn("name", F.col("label_id")), ["ord"])
+    assert got == {tuple(r) for r in batch.select("trajectory_id", "unit_index", "x0", "y0", "t0", "x1", "y1", "t1", F.col("name").alias("label_id")).collect()} and len(got) == 27
+
+
+def test_stream_sets_late_points_aside(spark, tmp_path):
+    schema = "trajectory_id long, t long, x float, y float, label_id long, ord long"
+    for k, rows in enumerate([[(1, 10, 0.0, 0.0, 1, 0), (1, 20, 1.0, 0.0, 1, 1)], [(1, 15, 9.0, 9.0, 1, 2), (1, 30, 2.0, 0.0, 1, 3)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        points = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = write_units_stream(stream_units(points, late=True), str(tmp_path / "out"), str(tmp_path / "cp"), late_path=str(tmp_path / "late")).start()
+        q.processAllAvailable()
+        q.stop()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("unit_index", "t0", "t1").collect())
+    late = [tuple(r) for r in spark.read.parquet(str(tmp_path / "late")).select("trajectory_id", "t1", "x1", "y1").collect()]
+    assert got == [(0, 10, 20), (1, 20, 30)] and late == [(1, 15, 9.0, 9.0)]
