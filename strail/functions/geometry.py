@@ -149,6 +149,19 @@ def point_less_eq(p: str, q: str) -> Column:
     return out
 
 
+def vectors_equal(p: str, q: str) -> Column:
+    return (F.col(f"{p}x") == F.col(f"{q}x")) & (F.col(f"{p}y") == F.col(f"{q}y")) & (F.col(f"{p}t") == F.col(f"{q}t"))
+
+
+def units_equal(p: str, q: str) -> Column:
+    """All fields of two units; the places in their trajectories are not among them."""
+    out = F.col(f"{p}label_id") == F.col(f"{q}label_id")
+    for end in "01":
+        for a in AXES:
+            out = out & (F.col(f"{p}{a}{end}") == F.col(f"{q}{a}{end}"))
+    return out
+
+
 def vector_add(p: str, q: str) -> list[Column]:
     return [(F.col(f"{p}{a}") + F.col(f"{q}{a}")).alias(a) for a in AXES]
 

@@ -41,15 +41,16 @@ def union_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("start", start).withColumn("part", part).groupBy(*keys, "part").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("part")
 
 
-def intersect_intervals(rows: DataFrame, keys: list[str], set_col: str, sets: int) -> DataFrame:
-    """What all `sets` sets of a group cover, by an event sweep; each set is disjoint in itself."""
-    del set_col
+def intersect_intervals(rows: DataFrame, keys: list[str], sets: int) -> DataFrame:
+    """What all `sets` sets of a group cover, by an event sweep; each set is disjoint in itself.
+
+    A border of any set stays a border: neighbours such as [1, 2] and [3, 4] are not merged.
+    """
     event = F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("step")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("step"))))
     events = rows.select(*keys, event.alias("e")).select(*keys, "e.*").groupBy(*keys, "at").agg(F.sum("step").alias("step"))
     by = Window.partitionBy(*keys).orderBy("at")
     swept = events.withColumns({"open": F.sum("step").over(by), "next": F.lead("at").over(by)}).where(F.col("open") == sets)
-    out = swept.select(*keys, F.col("at").alias("begin"), (F.col("next") - 1).alias("end"))
-    return merge_neighbours(out, keys)
+    return swept.select(*keys, F.col("at").alias("begin"), (F.col("next") - 1).alias("end"))
 
 
 def merge_neighbours(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,6 +66,32 @@ def contains(intervals: Column, value: Column) -> Column:
     return F.exists(intervals, lambda i: (i["begin"] <= value) & (value <= i["end"]))
 
 
+def overlaps_any(intervals: Column, spans: list[tuple[int, int]]) -> Column:
+    """Whether an interval of the column meets one of a few spans."""
+    one = lambda i: F.exists(F.array(*[F.struct(F.lit(b).cast("long").alias("begin"), F.lit(e).cast("long").alias("end")) for b, e in spans]), lambda s: (s["begin"] <= i["end"]) & (i["begin"] <= s["end"]))
+    return F.exists(intervals, one) if spans else F.lit(False)
+
+
+def display_intervals(rows: DataFrame, keys: list[str], out: str = "text") -> DataFrame:
+    """(keys, out) of rows (keys, begin, end): {[1][3-9]}, neighbours joined."""
+    one = F.when(F.col("begin") == F.col("end"), F.format_string("[%d]", "begin")).otherwise(F.format_string("[%d-%d]", "begin", "end"))
+    merged = merge_neighbours(rows, keys).select(*keys, "begin", one.alias("one"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("begin", "one"))), lambda x: x["one"])
+    return merged.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(listed, ""), F.lit("}")).alias(out))
+
+
+def bloom_error(bits: int, n: Column, probes: int = 5) -> Column:
+    """How often a filter of so many bits with n ids says yes to another id."""
+    return F.pow(1 - F.pow(F.lit(1 - 1 / bits), n * probes), F.lit(float(probes)))
+
+
+def bloom_words(filters: DataFrame, keys: list[str], how: str, sets: int, filter_col: str = "filter") -> DataFrame:
+    """(keys, word, bits) of filters united (`or`) or intersected (`and`, of `sets` filters a group); words without bits go."""
+    words = filters.select(*keys, F.explode(filter_col).alias("word", "bits")).groupBy(*keys, "word")
+    made = words.agg(F.expr(f"bit_{how}(bits)").alias("bits"), F.count(F.lit(1)).alias("n"))
+    return made.where((F.col("bits") != 0) & ((F.col("n") == sets) | F.lit(how == "or"))).drop("n")
+
+
 def display(intervals: list[tuple[int, int]]) -> str:
     """{[1][3-9]}: neighbours are joined for display."""
     out: list[list[int]] = []

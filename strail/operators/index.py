@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strail.functions.geometry import extend_agg, unit_extend_agg
-from strail.functions.idset import ids_to_intervals, trim_intervals
+from strail.functions.idset import bloom_bits, bloom_filters, ids_to_intervals, trim_intervals
+from strail.operators.stored import keep
 from strail.schema import UNITS, IndexConfig
 
 BOX = ["xmin", "ymin", "tmin", "xmax", "ymax", "tmax"]
@@ -84,31 +86,56 @@ def to_interval_postings(postings: DataFrame, lambda_: int) -> DataFrame:
     return postings.drop("ids").alias("p").join(ids.alias("i"), key).select("p.level", "p.node_id", "p.label_id", "p.unit_count", "i.ids")
 
 
+def to_bloom_postings(postings: DataFrame, lambda_: int) -> DataFrame:
+    """Postings with exact id arrays -> with a Bloom filter (words of bits) as large as lambda_ intervals."""
+    key = ["level", "node_id", "label_id"]
+    made = bloom_filters(postings.select(*key, F.explode("ids").alias("id")), key, bloom_bits(lambda_))
+    same = (F.col("p.level") == F.col("i.level")) & (F.col("p.node_id") == F.col("i.node_id")) & F.col("p.label_id").eqNullSafe(F.col("i.label_id"))
+    return postings.drop("ids").alias("p").join(made.alias("i"), same).select("p.level", "p.node_id", "p.label_id", "p.unit_count", F.col("i.filter").alias("ids"))
+
+
 def build(units: DataFrame, config: IndexConfig, labels: DataFrame | None = None) -> Index:
     """Lay out, number leaves densely, and summarize level by level up to one root."""
     from strail.operators.layout import apply_layout
 
-    if config.id_set == "bloom" or config.beta_mode != "normal":
-        raise ValueError(f"id set bloom and beta modes but normal are not built: {config.id_set}, {config.beta_mode}")
-    laid = apply_layout(units, config.layout, config.leaf_fanout, config.beta).persist()
+    laid = keep(apply_layout(units, config.layout, config.leaf_fanout, config.beta, config.internal_fanout, config.beta_mode))
+    return _numbered(laid, config, labels)
+
+
+def _numbered(laid: DataFrame, config: IndexConfig, labels: DataFrame | None) -> Index:
+    """The index of laid-out units whose leaf ids, in their order, become dense."""
     seq = number_nodes(leaf_boxes(laid))
-    laid = laid.join(seq.withColumnRenamed("node_id", "leaf_id"), "leaf_id").drop("leaf_id").withColumnRenamed("seq", "leaf_id").persist()
-    level, nodes, posts = 0, leaf_boxes(laid).persist(), leaf_summary(laid).persist()
+    laid = keep(laid.join(seq.withColumnRenamed("node_id", "leaf_id"), "leaf_id").drop("leaf_id").withColumnRenamed("seq", "leaf_id"))
+    return summarize(laid, config, labels)
+
+
+def summarize(laid: DataFrame, config: IndexConfig, labels: DataFrame | None = None, least_height: int = 1) -> Index:
+    """Nodes and postings of units with leaf_id, level by level up to one root; node n of a level is under node n DIV fan-out of the next."""
+    level, nodes, posts = 0, keep(leaf_boxes(laid)), keep(leaf_summary(laid))
     all_nodes, all_posts = [nodes.withColumn("level", F.lit(0))], [posts.withColumn("level", F.lit(0))]
-    while nodes.count() > 1:
-        level, nodes, posts = level + 1, internal_boxes(nodes, config.internal_fanout).persist(), internal_summary(posts, config.internal_fanout).persist()
+    while nodes.count() > 1 or level + 1 < least_height:
+        level, nodes, posts = level + 1, keep(internal_boxes(nodes, config.internal_fanout)), keep(internal_summary(posts, config.internal_fanout))
         all_nodes.append(nodes.withColumn("level", F.lit(level)))
         all_posts.append(posts.withColumn("level", F.lit(level)))
-    stack = lambda parts: __import__("functools").reduce(DataFrame.unionByName, parts)
-    tree = stack(all_nodes).withColumn("parent_id", F.when(F.col("level") < level, parent_of(F.col("node_id"), config.internal_fanout)))
-    postings = stack(all_posts).select("level", "node_id", "label_id", "unit_count", "ids")
+    tree = reduce(DataFrame.unionByName, all_nodes).withColumn("parent_id", F.when(F.col("level") < level, parent_of(F.col("node_id"), config.internal_fanout)))
+    postings = reduce(DataFrame.unionByName, all_posts).select("level", "node_id", "label_id", "unit_count", "ids")
     if config.id_set == "interval":
         postings = to_interval_postings(postings, config.lambda_)
+    elif config.id_set == "bloom":
+        postings = keep(to_bloom_postings(postings, config.lambda_))
     elif config.id_set == "null":
         postings = postings.drop("ids")
     return Index(laid, tree.select("level", "node_id", "parent_id", "n_entries", *BOX), postings, labels, config, level + 1, laid.count())
 
 
+def naive_summary(units: DataFrame, fanout: int, level: int) -> DataFrame:
+    """internal_summary() of a level straight from the units, label by label, as a check of the level-wise one."""
+    node = F.floor(F.col("leaf_id") / F.lit(fanout**level)).cast("long").alias("node_id")
+    ids = F.sort_array(F.collect_set("trajectory_id")).alias("ids")
+    by = units.groupBy(node, "label_id").agg(F.count(F.lit(1)).alias("unit_count"), ids)
+    return by.unionByName(units.groupBy(node).agg(F.count(F.lit(1)).alias("unit_count"), ids).withColumn("label_id", F.lit(None).cast("long")))
+
+
 def save(index: Index, path: str) -> None:
     """Units are clustered by leaf within files, so the scan's minima and maxima are narrow."""
     parts = max(1, index.size // 2_000_000)
@@ -130,13 +157,99 @@ def open_index(spark: SparkSession, path: str, expected: IndexConfig | None = No
         for name in ("version", "leaf_fanout", "internal_fanout", "lambda_", "id_set"):
             if getattr(config, name) != getattr(expected, name):
                 raise ValueError(f"index has {name} {getattr(config, name)}, expected {getattr(expected, name)}")
-    try:
-        labels = spark.read.parquet(f"{path}/labels")
-    except Exception:  # noqa: BLE001  no dictionary was saved
-        labels = None
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/labels")
+    labels = spark.read.parquet(f"{path}/labels") if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
     return Index(spark.read.parquet(f"{path}/units"), spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/postings"), labels, config, height, size)
 
 
+def descend(index: Index, probe: DataFrame) -> DataFrame:
+    """probe (units) with the leaf of least cost, found from the root down: each level joins a unit with the children of its node.
+
+    A child costs beta_at(its parent's depth) * enlargement / largest enlargement + the rest * textual cost; ties go to the
+    smaller, then to the first child. Units and nodes meet by sort-merge or broadcast as AQE sees fit; no node is shipped whole.
+    """
+    from strail.functions import geometry as G
+
+    at = probe.select("*", *G.unit_mbb("__u_")).withColumn("__parent", F.lit(0).cast("long"))
+    key = ["trajectory_id", "unit_index"]
+    for level in range(index.height - 2, -1, -1):
+        beta = index.config.beta_at(index.height, index.height - 2 - level)
+        posts = index.postings.where((F.col("level") == level) & F.col("label_id").isNotNull())
+        total = posts.groupBy("node_id").agg(F.sum("unit_count").alias("__total"))
+        nodes = index.nodes.where(F.col("level") == level).join(total, "node_id").select("node_id", "__total", F.col("parent_id").alias("__parent"), *[F.col(c).alias(f"__n_{c}") for c in BOX])
+        hist = posts.select("node_id", "label_id", F.col("unit_count").alias("__count"))
+        pair = at.join(nodes, "__parent").join(hist, ["node_id", "label_id"], "left")
+        pair = pair.select("*", G.volume("__n_").alias("__size"), *G.union_box("__u_", "__n_", "__g_")).withColumn("__grown", G.volume("__g_") - F.col("__size"))
+        textual = F.when(F.col("__count").isNull(), F.lit(1.0)).otherwise(1 - (F.lit(1) + F.col("__count")) / (F.lit(1) + F.col("__total")))
+        pair = pair.withColumn("__textual", textual)
+        # The largest enlargement comes from the same group as the choice: one aggregation over the children of a node.
+        child = F.struct("__grown", "__textual", "__size", "node_id")
+        rows = pair.groupBy(*key).agg(F.first(F.struct(*[c for c in at.columns if c not in (*key, "__parent")])).alias("__row"), F.max("__grown").alias("__top"), F.collect_list(child).alias("__children"))
+        share = G.inverse(F.col("__top"))
+        cost = lambda c: F.struct((F.lit(beta) * c["__grown"] * share + F.lit(1 - beta) * c["__textual"]).alias("cost"), c["__size"].alias("size"), c["node_id"].alias("node"))  # noqa: B023, E731
+        best = F.array_min(F.transform("__children", cost))["node"]
+        at = rows.select(*key, "__row.*", best.alias("__parent"))
+    return at.select(*probe.columns, F.col("__parent").alias("leaf_id"))
+
+
+def insert(index: Index, batch: DataFrame) -> Index:
+    """The index with more units: each goes to the leaf of least cost, leaves that overflow are split, and their ancestors are summarized again.
+
+    Leaves that don't overflow keep their units. Splits are those of inserting one by one; a leaf and what comes to it is one
+    group, so a batch that puts more than `tile_rows` units into a leaf is cut into tiles there first.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from strail.operators.insertion import Tree
+    from strail.operators.layout import _corners
+
+    config, tile_rows = index.config, 20_000
+    fields = UNITS.fieldNames()
+    old = index.units.select(*fields, "leaf_id")
+    everything = keep(old.unionByName(descend(index, batch.select(*fields)).select(*fields, "leaf_id")))
+    sizes = everything.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > config.leaf_fanout)
+    rest = everything.join(sizes, "leaf_id", "left_anti").select(*fields, F.col("leaf_id"), F.lit(0).cast("long").alias("__part"))
+    tile = F.pmod(F.xxhash64("trajectory_id", F.expr("unit_index DIV 64")), F.ceil(F.col("__n") / tile_rows))
+    over = everything.join(sizes, "leaf_id").withColumn("__tile", tile).drop("__n")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["trajectory_id", "unit_index"], ignore_index=True)
+        tree = Tree(config.leaf_fanout, config.internal_fanout, config.beta, config.beta_mode)
+        low, high = _corners(pdf)
+        for i, label in enumerate(pdf["label_id"].to_numpy()):
+            tree.insert(i, low[i], high[i], {int(label): 1})
+        pdf["__part"] = pdf["__tile"].astype(np.int64) * (1 << 20) + tree.leaf_numbers(len(pdf))
+        return pdf.drop(columns="__tile")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in UNITS) + ", leaf_id long, __part long"
+    split = over.select(*fields, "leaf_id", "__tile").groupBy("leaf_id", "__tile").applyInPandas(grow, schema)
+    parts = keep(rest.unionByName(split))
+    from strail.operators.layout import global_rank, parts_for
+
+    names = parts.select("leaf_id", "__part").distinct()
+    ranked = global_rank(names, ["leaf_id", "__part"], "__leaf", parts_for(names.count()))
+    laid = keep(parts.join(ranked, ["leaf_id", "__part"]).select(*fields, F.col("__leaf").alias("leaf_id")))
+    return summarize(laid, config, index.labels)
+
+
+def attach(index: Index, other: Index) -> Index:
+    """Both trees under one root, their leaves as they are: the other's nodes are numbered behind the first's, level by level.
+
+    The lower tree gets nodes of one child above its root, so that both roots are on one level. Summaries above the leaves
+    come from one more pass over the postings. An empty tree leaves the other one as it is.
+    """
+    if (index.config.leaf_fanout, index.config.internal_fanout) != (other.config.leaf_fanout, other.config.internal_fanout):
+        raise ValueError("fan-outs differ")
+    if not other.size or not index.size:
+        return index if not other.size else Index(other.units, other.nodes, other.postings, other.labels, index.config, other.height, other.size)
+    height = max(index.height, other.height)
+    shift = index.config.internal_fanout ** (height - 1)  # leaves under one node of the common level, at most
+    moved = other.units.withColumn("leaf_id", F.col("leaf_id") + F.lit(shift).cast("long"))
+    laid = keep(index.units.select(*UNITS.fieldNames(), "leaf_id").unionByName(moved.select(*UNITS.fieldNames(), "leaf_id")))
+    return summarize(laid, index.config, index.labels)
+
+
 def append(index: Index, batch: DataFrame) -> Index:
     """The index of old and new units together; leaves of old units may change."""
     return build(index.units.select(*UNITS.fieldNames()).unionByName(batch.select(*UNITS.fieldNames())), index.config, index.labels)
@@ -150,6 +263,37 @@ def matching_children(postings: DataFrame, nodes: DataFrame, level: int, labels:
     return ids.join(nodes.where(F.col("level") == level).select("node_id", "parent_id"), "node_id")
 
 
+def postings_total(postings: DataFrame) -> DataFrame:
+    """(label_id, nodes, units) of each list of a level's postings; the list of all labels has a null label."""
+    return postings.groupBy("level", "label_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum("unit_count").alias("units"))
+
+
+def replace_child(postings: DataFrame, level: int, node: int, summary: DataFrame) -> DataFrame:
+    """Postings with a node's lists replaced by those of a new summary (label_id, unit_count, ids); labels that it lacks lose theirs."""
+    gone = (F.col("level") == level) & (F.col("node_id") == node)
+    new = summary.select(F.lit(level).alias("level"), F.lit(node).cast("long").alias("node_id"), "label_id", "unit_count", "ids")
+    return postings.where(~gone).unionByName(new)
+
+
+def lost_labels(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(node_id, label_id) of lists that were there before and aren't any more."""
+    return before.where("label_id is not null").select("node_id", "label_id").join(after.select("node_id", "label_id"), ["node_id", "label_id"], "left_anti")
+
+
+def merged_ids(postings: DataFrame, fanout: int) -> DataFrame:
+    """(node_id, merged): the sorted id lists of a node's children merged in order, ids that several have repeated."""
+    all_of = postings.where("label_id is null").groupBy(parent_of(F.col("node_id"), fanout).alias("node_id"))
+    return all_of.agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("merged"))
+
+
+def dump_lists(index: Index) -> DataFrame:
+    """Lines of the postings of each node in the order of dump_text(): label and count, the list of all labels first."""
+    one = F.format_string("%s: %d", F.coalesce(F.col("label_id").cast("string"), F.lit("all")), "unit_count")
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("label_id", F.lit(-1).cast("long")).alias("label"), one.alias("one"))))
+    rows = index.postings.groupBy("level", "node_id").agg(F.array_join(F.transform(listed, lambda x: x["one"]), ", ").alias("lists"))
+    return rows.select("level", "node_id", F.concat(F.repeat(F.lit("  "), (F.lit(index.height) - F.col("level")).cast("int")), F.lit("index "), "lists").alias("line"))
+
+
 def dump_text(index: Index) -> DataFrame:
     """Lines of the tree, from the root down, indented by depth."""
     depth = F.lit(index.height - 1) - F.col("level")

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from strail.schema import IndexConfig
+
 TINY = 2.220446049250313e-16 / 2
 
 
@@ -134,15 +136,21 @@ class Router:
 
 
 class Tree:
-    def __init__(self, leaf: int, internal: int, beta: float = 0.5):
+    def __init__(self, leaf: int, internal: int, beta: float = 0.5, mode: str = "normal"):
         self.leaf, self.internal, self.beta, self.root = leaf, internal, beta, Node(True)
+        self.config, self.levels = IndexConfig(beta=beta, beta_mode=mode), 1
+
+    def weight(self, level: int) -> float:
+        """Weight of the spatial cost at a depth below the root (0)."""
+        return self.config.beta_at(self.levels, level)
 
     def insert(self, item: int, low: np.ndarray, high: np.ndarray, labels: dict[int, int]) -> None:
         path, node = [], self.root
         while not node.leaf:
             lows, highs = np.array(node.lows), np.array(node.highs)
             totals = np.array([sum(x.values()) for x in node.labels], np.float64)
-            cost = self.beta * spatial_costs(low, high, lows, highs) + (1 - self.beta) * textual_costs(labels, node.labels, totals)
+            beta = self.weight(len(path))
+            cost = beta * spatial_costs(low, high, lows, highs) + (1 - beta) * textual_costs(labels, node.labels, totals)
             at = choose(cost, volumes(lows, highs))
             node.lows[at], node.highs[at] = np.minimum(lows[at], low), np.maximum(highs[at], high)
             for k, v in labels.items():
@@ -151,9 +159,9 @@ class Tree:
             node = node.items[at]
         self._add(node, low, high, dict(labels), item)
         while len(node.items) > (self.leaf if node.leaf else self.internal):
-            new = self._split(node)
+            new = self._split(node, len(path))
             if not path:
-                self.root = Node(False)
+                self.root, self.levels = Node(False), self.levels + 1
                 for child in (node, new):
                     self._add(self.root, *child.box(), child.histogram(), child)
                 break
@@ -170,9 +178,9 @@ class Tree:
         node.labels.append(labels)
         node.items.append(item)
 
-    def _split(self, node: Node) -> Node:
+    def _split(self, node: Node, level: int) -> Node:
         most = self.leaf if node.leaf else self.internal
-        right = split(np.array(node.lows), np.array(node.highs), node.labels, self.beta, -(-most // 3))
+        right = split(np.array(node.lows), np.array(node.highs), node.labels, self.weight(level), -(-most // 3))
         new = Node(node.leaf)
         for name in ("lows", "highs", "labels", "items"):
             own = getattr(node, name)

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strail.operators.layout import global_rank, parts_for
+
 
 def label_points(points: DataFrame, activities: DataFrame, by: str, point_key: list[str]) -> DataFrame:
     """points (by, t, ...) with `name` of the activity of earliest (begin, line) whose closed interval holds t, else null.
 
-    The join is an equi-join on the user with a range condition; of the activities that hold a point one is kept by a
-    minimum over a struct, which is partial, so points are shuffled once more at most and never sorted.
+    The join is an equi-join on the user and a stretch of time with a range condition: stretches are twice as long as the
+    mean activity, which is copied to each that it meets, so a user with much data is many keys and points meet the activities
+    of their own time only. Of the activities that hold a point one is kept by a minimum over a struct, which is partial.
     """
-    a = activities.select(F.col(by).alias("__by"), "begin", "end", F.col("line").alias("__line"), "name")
-    hit = points.join(a, (F.col(by) == F.col("__by")) & (F.col("t") >= F.col("begin")) & (F.col("t") <= F.col("end")), "left")
+    mean = activities.agg(F.avg(F.col("end") - F.col("begin"))).first()[0]
+    width = max(1, int(2 * (mean or 0)))
+    stretch = lambda c: F.floor(F.col(c) / width)
+    a = activities.where(F.col("begin") <= F.col("end")).select(F.col(by).alias("__by"), "begin", "end", F.col("line").alias("__line"), "name", F.explode(F.sequence(stretch("begin"), stretch("end"))).alias("__stretch"))
+    hit = points.join(a, (F.col(by) == F.col("__by")) & (stretch("t") == F.col("__stretch")) & (F.col("t") >= F.col("begin")) & (F.col("t") <= F.col("end")), "left")
     first = F.min(F.when(F.col("begin").isNotNull(), F.struct("begin", "__line", "name"))).alias("first")
     rest = [c for c in points.columns if c not in point_key]
     out = hit.groupBy(*point_key).agg(*[F.first(c).alias(c) for c in rest], first)
@@ -35,10 +41,10 @@ def runs_to_units(points: DataFrame, order: list[str]) -> DataFrame:
 def remap_ids(units: DataFrame, seed: int = 1) -> DataFrame:
     """Each trajectory id replaced by another one of the same set, by rank of a seeded hash: a bijection without collisions."""
     ids = units.select("trajectory_id").distinct()
-    rank = lambda *order: F.row_number().over(Window.orderBy(*order))
+    parts = parts_for(ids.count())
     order = ids.select("trajectory_id", F.md5(F.concat_ws(":", F.col("trajectory_id").cast("string"), F.lit(str(seed)))).alias("roll"))
-    source = order.select("trajectory_id", rank("roll", "trajectory_id").alias("r"))
-    target = ids.select(F.col("trajectory_id").alias("new_id"), rank("trajectory_id").alias("r"))
+    source = global_rank(order, ["roll", "trajectory_id"], "r", parts).drop("roll")
+    target = global_rank(ids.withColumnRenamed("trajectory_id", "new_id"), ["new_id"], "r", parts)
     return units.join(source.join(target, "r").drop("r"), "trajectory_id").drop("trajectory_id").withColumnRenamed("new_id", "trajectory_id")
 
 

@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 from strail.functions.geometry import unit_center, unit_extend_agg
 from strail.functions.hilbert import hilbert_column, scaled
 from strail.operators.insertion import Tree
+from strail.operators.stored import keep
 
 LEAF = 113
 TIES = ["trajectory_id", "unit_index"]
 STR_ORDERS = {"plain": ["xc", "yc", "tc"], "lf": ["label_id", "xc", "yc", "tc"], "ll": ["xc", "yc", "tc", "label_id"]}
-ROWS_PER_PARTITION = 200_000
+ROWS_PER_PARTITION, MAX_PARTITIONS = 200_000, 10_000
 
 
-def _parts(df: DataFrame, n: int) -> int:
-    """Enough range partitions that none has many more than ROWS_PER_PARTITION rows."""
-    del df
-    return max(1, -(-n // ROWS_PER_PARTITION))
+def parts_for(n: int) -> int:
+    """Range partitions of about ROWS_PER_PARTITION rows; beyond MAX_PARTITIONS they grow, and their sorts spill."""
+    return min(MAX_PARTITIONS, max(1, -(-n // ROWS_PER_PARTITION)))
 
 
 def global_rank(df: DataFrame, order: list[str], out: str, parts: int) -> DataFrame:
@@ -36,15 +36,13 @@ def global_rank(df: DataFrame, order: list[str], out: str, parts: int) -> DataFr
     if parts == 1:
         ordered = df.coalesce(1).sortWithinPartitions(*order)
         return ordered.withColumn(out, F.monotonically_increasing_id())
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist()
-    sizes = dict(ordered.groupBy(F.shiftright("__id", 33).cast("int").alias("p")).count().collect())  # a row for each partition
-    offset, offsets = 0, []
-    for p in range(parts):
-        offsets.append(offset)
-        offset += sizes.get(p, 0)
-    table = F.array(*[F.lit(o).cast("long") for o in offsets])
-    place = F.element_at(table, F.shiftright("__id", 33).cast("int") + 1) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn(out, place).drop("__id")
+    ordered = keep(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33).cast("int")
+    sizes = dict(ordered.groupBy(part.alias("p")).count().collect())  # a row for each partition, MAX_PARTITIONS at most
+    starts = np.cumsum([0, *(sizes.get(p, 0) for p in range(parts))])[:-1].tolist()
+    offsets = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(starts)), "__part int, __offset long"))
+    place = F.col("__offset") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("__part", part).join(offsets, "__part").withColumn(out, place).drop("__id", "__part", "__offset")
 
 
 def slab_size(n: Column, leaf: int, exponent: float) -> Column:
@@ -57,7 +55,7 @@ def str_layout(units: DataFrame, mode: str = "lf", leaf: int = LEAF, dims: list[
     names = dims or STR_ORDERS[mode]
     rows = units.select("*", *unit_center())
     n = rows.count()
-    parts, slabs, size = _parts(units, n), [], None
+    parts, slabs, size = parts_for(n), [], None
     rows = rows.withColumn("__n", F.lit(n).cast("long")).withColumn("__start", F.lit(0).cast("long"))
     for k, dim in enumerate(names):
         rows = global_rank(rows, [*slabs, dim, *TIES], "__rank", parts)
@@ -106,7 +104,7 @@ def _corners(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def hilbert_layout(units: DataFrame, leaf: int = LEAF, bits: int = 16) -> DataFrame:
     """Units in Hilbert order, packed into leaves within each range partition; leaf_id orders leaves along the curve."""
     rows = with_hilbert(units, bits)
-    parts = _parts(units, units.count())
+    parts = parts_for(units.count())
     ordered = rows.repartitionByRange(parts, "h", *TIES).sortWithinPartitions("h", *TIES).withColumn("__p", F.spark_partition_id())
 
     def pack(batches):
@@ -120,7 +118,7 @@ def hilbert_layout(units: DataFrame, leaf: int = LEAF, bits: int = 16) -> DataFr
     return ordered.mapInPandas(pack, schema)
 
 
-def obo_layout(units: DataFrame, leaf: int = LEAF, internal: int = 127, beta: float = 0.5, tile_rows: int = 20_000) -> DataFrame:
+def obo_layout(units: DataFrame, leaf: int = LEAF, internal: int = 127, beta: float = 0.5, tile_rows: int = 20_000, mode: str = "normal") -> DataFrame:
     """Leaves of trees built by inserting one by one (cost-driven path, quadratic split).
 
     Insertion is sequential; units are first cut into tiles of bounded size by Sort-Tile-Recursive, and each tile grows a
@@ -130,7 +128,7 @@ def obo_layout(units: DataFrame, leaf: int = LEAF, internal: int = 127, beta: fl
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TIES, ignore_index=True)
-        tree = Tree(leaf, internal, beta)
+        tree = Tree(leaf, internal, beta, mode)
         low, high = _corners(pdf)
         for i, label in enumerate(pdf["label_id"].to_numpy()):
             tree.insert(i, low[i], high[i], {int(label): 1})
@@ -141,14 +139,20 @@ def obo_layout(units: DataFrame, leaf: int = LEAF, internal: int = 127, beta: fl
     return tiles.groupBy("__tile").applyInPandas(grow, schema)
 
 
-def quickload_layout(units: DataFrame, leaf: int = LEAF, beta: float = 0.5, sample: int = 4000, tile_rows: int = 20_000) -> DataFrame:
+def quickload_leaves(memory_bytes: int, internal: int = 127, label_bytes: int = 64) -> int:
+    """Leaves that a routing tree of so much memory may have: six doubles and a histogram for each, and the nodes above them."""
+    each = 48 + label_bytes
+    return max(2, int(memory_bytes / (each * (1 + 1 / (internal - 1)))))
+
+
+def quickload_layout(units: DataFrame, leaf: int = LEAF, beta: float = 0.5, sample: int = 4000, tile_rows: int = 20_000, internal: int = 127, mode: str = "normal") -> DataFrame:
     """Leaves by routing through a tree of a bounded sample, then splitting each bucket by inserting one by one.
 
     The sample's tree has few leaves and goes to all workers; each unit is routed by cost to one of them. Buckets of more
     than tile_rows units are cut into tiles first, so no group is larger than that.
     """
     rows = units.orderBy(F.xxhash64(*TIES)).limit(sample).toPandas()  # bounded by `sample`
-    tree = Tree(max(2, len(rows) // 64 or 2), 127, beta)
+    tree = Tree(max(2, len(rows) // 64 or 2), internal, beta, mode)
     low, high = _corners(rows)
     for i, label in enumerate(rows["label_id"].to_numpy()):
         tree.insert(i, low[i], high[i], {int(label): 1})
@@ -161,13 +165,13 @@ def quickload_layout(units: DataFrame, leaf: int = LEAF, beta: float = 0.5, samp
             yield pdf.assign(__bucket=shared.value.route(lo, hi, pdf["label_id"].to_numpy()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
-    routed = units.mapInPandas(route, f"{schema}, __bucket long")
+    routed = keep(units.mapInPandas(route, f"{schema}, __bucket long"))  # read twice; routed once
     sizes = routed.groupBy("__bucket").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("__tiles"))
     tiled = routed.join(sizes, "__bucket").withColumn("__tile", F.pmod(F.xxhash64("trajectory_id", F.expr("unit_index DIV 64")), F.col("__tiles")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TIES, ignore_index=True)
-        own = Tree(leaf, 127, beta)
+        own = Tree(leaf, internal, beta, mode)
         lo, hi = _corners(pdf)
         for i, label in enumerate(pdf["label_id"].to_numpy()):
             own.insert(i, lo[i], hi[i], {int(label): 1})
@@ -182,12 +186,28 @@ LAYOUTS = {
     "str_lf": lambda u, leaf=LEAF, **_: str_layout(u, "lf", leaf),
     "str_ll": lambda u, leaf=LEAF, **_: str_layout(u, "ll", leaf),
     "hilbert": lambda u, leaf=LEAF, **_: hilbert_layout(u, leaf),
-    "obo": lambda u, leaf=LEAF, beta=0.5, **_: obo_layout(u, leaf, beta=beta),
-    "quickload": lambda u, leaf=LEAF, beta=0.5, **_: quickload_layout(u, leaf, beta),
+    "obo": lambda u, leaf=LEAF, beta=0.5, internal=127, mode="normal": obo_layout(u, leaf, internal, beta, mode=mode),
+    "quickload": lambda u, leaf=LEAF, beta=0.5, internal=127, mode="normal": quickload_layout(u, leaf, beta, internal=internal, mode=mode),
 }
 
 
-def apply_layout(units: DataFrame, name: str, leaf: int = LEAF, beta: float = 0.5) -> DataFrame:
+def apply_layout(units: DataFrame, name: str, leaf: int = LEAF, beta: float = 0.5, internal: int = 127, mode: str = "normal") -> DataFrame:
     if name not in LAYOUTS:
         raise ValueError(f"unknown layout {name}")
-    return LAYOUTS[name](units, leaf=leaf, beta=beta)
+    return LAYOUTS[name](units, leaf=leaf, beta=beta, internal=internal, mode=mode)
+
+
+def pack_points(points: DataFrame, method: str, leaf: int = 16, key: str = "id") -> DataFrame:
+    """2-D points (id, x, y) with leaf_id, `leaf` of them a leaf: `hilbert` (16 bits an axis) or `str` (columns, then rows)."""
+    n = points.count()
+    if method == "hilbert":
+        box = points.agg(*[f(a).alias(f"__{a}{m}") for a in "xy" for f, m in ((F.min, "min"), (F.max, "max"))])
+        cells = [scaled(F.col(a), F.col(f"__{a}min"), F.col(f"__{a}max")) for a in "xy"]
+        rows, order = points.crossJoin(F.broadcast(box)).withColumn("__h", hilbert_column(cells, 16)), ["__h", key]  # one row
+    elif method == "str":
+        size = leaf * max(1, int(np.ceil(round(float(np.sqrt(np.ceil(n / leaf))), 9))))
+        rows = global_rank(points, ["x", "y", key], "__x", parts_for(n)).withColumn("__slab", F.floor(F.col("__x") / size))
+        order = ["__slab", "y", "x", key]
+    else:
+        raise ValueError(f"unknown method {method}")
+    return global_rank(rows, order, "__place", parts_for(n)).withColumn("leaf_id", F.floor(F.col("__place") / leaf).cast("long")).select(*points.columns, "leaf_id")

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strail.functions.geometry import meets
+from strail.functions.idset import bloom_words, intersect_intervals, overlaps_any, trim_intervals, union_intervals
 from strail.operators.index import Index
 from strail.operators.query import SimpleQuery, find
+from strail.operators.stored import keep
 
-PUSHED = 2000  # leaves that are pushed down as a list; more go through a semi-join
+PUSHED = 2000  # nodes that are pushed down as a list; more go through a semi-join
 
 
 def is_monotone(units: DataFrame) -> bool:
@@ -75,36 +77,124 @@ def shared_ids(index: Index, steps: list[SimpleQuery]) -> DataFrame:
     return rows.groupBy("trajectory_id").agg(F.count_distinct("step").alias("n")).where(F.col("n") == len(steps)).select("trajectory_id")
 
 
+def _one_of(col: str, steps: list[SimpleQuery], test) -> Column:
+    """Array of the steps that a row passes."""
+    return F.array_compact(F.array(*[F.when(test(s), F.lit(i)) for i, s in enumerate(steps)])).alias(col)
+
+
+def _labelled(step: SimpleQuery) -> Column:
+    return F.col("label_id").isin(sorted(step.labels)) if step.labels else F.col("label_id").isNull()
+
+
+@dataclass
+class Search:
+    """What a level-wise search leaves: leaves by step, ids that all steps share (spans), and the nodes looked at on each level."""
+
+    leaves: DataFrame | None  # step, node_id
+    spans: list[tuple[int, int]] | None
+    visited: list[tuple[int, int]]  # level, nodes that stayed
+
+
+def _shared_spans(cand: DataFrame, n: int, capacity: int) -> list[tuple[int, int]]:
+    """At most capacity intervals for each step, and what all steps have in common: bounded by n * capacity."""
+    rows = cand.select("step", F.explode("ids").alias("i")).select("step", "i.begin", "i.end")
+    spans = trim_intervals(union_intervals(rows, ["step"]), ["step"], capacity)
+    both = intersect_intervals(spans.select(F.lit(1).alias("k"), "begin", "end"), ["k"], n)
+    return sorted((r["begin"], r["end"]) for r in both.collect())
+
+
+def search(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> Search:
+    """From the root down: on each level the children of the nodes that stayed, by box, label, time windows and id sets.
+
+    Interval and Bloom sets are compared on every level, exact ones by find_pruned() for the units. Nodes that stay are
+    held as a list while they are few (PUSHED a step), so that the next level's scan takes them as a filter, else as a table.
+    """
+    n, visited, spans = len(steps), [], None
+    alive: dict[int, list[int]] | DataFrame | None = None
+    nodes_of, posts_of = index.nodes, index.postings
+    has_ids = "ids" in posts_of.columns
+    for level in range(index.height - 1, -1, -1):
+        nodes = nodes_of.where(F.col("level") == level).select("node_id", "parent_id", "tmin", "tmax", _one_of("by_box", steps, lambda s: meets(s.box))).where(F.size("by_box") > 0)
+        posts = posts_of.where(F.col("level") == level).select("node_id", *(["ids"] if has_ids else []), _one_of("by_label", steps, _labelled)).where(F.size("by_label") > 0)
+        if isinstance(alive, dict):
+            nodes = nodes.where(F.col("parent_id").isin(sorted({p for own in alive.values() for p in own})))
+        cand = nodes.join(posts, "node_id").select("node_id", "parent_id", "tmin", "tmax", *(["ids"] if has_ids else []), F.explode(F.array_intersect("by_box", "by_label")).alias("step"))
+        if isinstance(alive, dict):
+            own = F.lit(False)
+            for i, parents in alive.items():
+                own = own | ((F.col("step") == i) & F.col("parent_id").isin(parents))
+            cand = cand.where(own)
+        elif alive is not None:
+            cand = cand.join(alive.select("step", F.col("node_id").alias("parent_id")), ["step", "parent_id"], "left_semi")
+        if monotone:
+            got = {r["step"]: TimeWindow(r["a"], r["b"]) for r in cand.groupBy("step").agg(F.min("tmin").alias("a"), F.max("tmax").alias("b")).collect()}
+            windows = trim_windows([got[i] for i in range(n)]) if len(got) == n else None
+            if windows is None:
+                return Search(None, None, visited)
+            inside = F.lit(False)
+            for i, w in enumerate(windows):
+                inside = inside | ((F.col("step") == i) & (F.col("tmin") <= w.end) & (F.col("tmax") >= w.begin))
+            cand = cand.where(inside)
+        if index.config.id_set == "interval":
+            spans = _shared_spans(cand, n, index.config.lambda_)
+            if not spans:
+                return Search(None, None, visited)
+            cand = cand.where(overlaps_any(F.col("ids"), spans))
+        elif index.config.id_set == "bloom":
+            words = bloom_words(bloom_words(cand, ["step"], "or", n, "ids").select("step", F.create_map("word", "bits").alias("filter")), [], "and", n)
+            shared = {r["word"]: r["bits"] for r in words.collect()}  # as many words as a filter has
+            if not shared:
+                return Search(None, None, visited)
+            table = F.create_map(*[x for w, b in shared.items() for x in (F.lit(w).cast("long"), F.lit(b).cast("long"))])
+            common = F.aggregate(F.map_entries("ids"), F.lit(0), lambda a, e: a + F.bit_count(e["value"].bitwiseAND(F.coalesce(F.element_at(table, e["key"]), F.lit(0).cast("long")))))
+            cand = cand.where(common > 0)
+        stay = cand.select("step", "node_id").distinct()
+        few = stay.limit(PUSHED * n + 1).collect()  # bounded
+        if len({r["step"] for r in few}) < n and len(few) <= PUSHED * n:
+            return Search(None, None, visited)
+        if len(few) <= PUSHED * n:
+            alive = {i: sorted(r["node_id"] for r in few if r["step"] == i) for i in range(n)}
+            visited.append((level, len({r["node_id"] for r in few})))
+            stay = index.units.sparkSession.createDataFrame([(r["step"], r["node_id"]) for r in few], "step int, node_id long")
+        else:
+            alive = keep(stay)
+            visited.append((level, alive.select("node_id").distinct().count()))
+            stay = alive
+    return Search(stay, spans, visited)
+
+
 def leaves(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> DataFrame | None:
     """(leaf_id) that may hold units of any step of a match; None if nothing can match."""
-    windows = time_windows(index, steps)
-    if any(w.empty for w in windows):
-        return None
-    if monotone:
-        windows = trim_windows(windows)
-        if windows is None:
-            return None
-    out = None
-    for s, w in zip(steps, windows, strict=True):
-        own = candidates(index, s)
-        if monotone:
-            own = own.where((F.col("tmin") <= w.end) & (F.col("tmax") >= w.begin))
-        out = own.select("node_id") if out is None else out.union(own.select("node_id"))
-    return out.distinct().withColumnRenamed("node_id", "leaf_id")
+    found = search(index, steps, monotone).leaves
+    return None if found is None else found.select(F.col("node_id").alias("leaf_id")).distinct()
+
+
+def visits(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> DataFrame:
+    """(level, nodes, stayed): how many nodes each level has and how many a search leaves; none below a level without any."""
+    got = dict(search(index, steps, monotone).visited)
+    rows = index.nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
+    stayed = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in {-1: 0, **got}.items() for x in kv]), F.col("level")), F.lit(0))
+    return rows.select("level", "nodes", stayed.cast("long").alias("stayed"))
 
 
 def find_pruned(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> DataFrame:
-    """find() over the leaves that pruning leaves; the same result, or for monotone data as vouched for."""
+    """find() over the leaves that the search leaves; the same result, or for monotone data as vouched for."""
     if not steps:
         return find(index.units, steps)
-    keep = leaves(index, steps, monotone)
-    if keep is None:
+    found = search(index, steps, monotone)
+    if found.leaves is None:
         return find(index.units.where("false"), steps)
-    few = keep.limit(PUSHED + 1).collect()  # bounded
+    kept = found.leaves.select(F.col("node_id").alias("leaf_id")).distinct()
+    few = kept.limit(PUSHED + 1).collect()  # bounded
     if len(few) <= PUSHED:
         units = index.units.where(F.col("leaf_id").isin([r["leaf_id"] for r in few])) if few else index.units.where("false")
     else:
-        units = index.units.join(keep, "leaf_id", "left_semi")
-    if index.config.id_set == "exact":
+        units = index.units.join(kept, "leaf_id", "left_semi")
+    if found.spans is not None:
+        own = F.lit(False)
+        for b, e in found.spans:
+            own = own | F.col("trajectory_id").between(b, e)
+        units = units.where(own)
+    elif index.config.id_set == "exact":
         units = units.join(shared_ids(index, steps), "trajectory_id", "left_semi")
     return find(units, steps)

@@ -132,10 +132,40 @@ def as_text(matches: DataFrame) -> DataFrame:
     return matches.select("trajectory_id", "unit_index", F.format_string("%d: %s -> %s, label %d", F.col("unit_index"), point(0), point(1), F.col("label_id")).alias("line"))
 
 
-def selectivity(units: DataFrame, queries: dict[str, list[SimpleQuery]]) -> DataFrame:
-    """(query, trajectories, units) for each named query."""
-    out = None
+def find_each(units: DataFrame, queries: dict[str, list[SimpleQuery]]) -> DataFrame:
+    """(query, trajectory_id, unit_index) of the matches of several named queries, in one scan and one shuffle."""
+    if any(len(s) > 62 for s in queries.values()):
+        raise ValueError("a query has at most 62 steps")
+    tests = []
     for name, steps in queries.items():
-        row = counts(find(units, steps)).select(F.lit(name).alias("query"), "trajectories", "units")
-        out = row if out is None else out.union(row)
-    return out
+        mask = F.lit(0).cast("long")
+        for i, s in enumerate(steps):
+            mask = mask + F.when(s.predicate(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        tests.append(F.struct(F.lit(name).alias("query"), F.lit(len(steps)).alias("n"), mask.alias("mask")))
+    hit = units.select("trajectory_id", "unit_index", F.explode(F.filter(F.array(*tests), lambda x: x["mask"] != 0)).alias("q"))
+    rows = hit.groupBy("q.query", "q.n", "trajectory_id").agg(F.collect_list(F.struct("unit_index", "q.mask")).alias("units"))
+    least = "array_min(transform(filter(units, u -> {}), u -> u.unit_index))"
+    first, later = least.format("(u.mask & 1L) <> 0"), least.format("(u.mask & shiftleft(1L, i)) <> 0 and u.unit_index >= element_at(acc, -1)")
+    marks = F.expr(f"aggregate(if(n > 1, sequence(1, n - 1), cast(array() as array<int>)), cast(array({first}) as array<bigint>), (acc, i) -> concat(acc, array({later})))")
+    out = rows.select("query", "trajectory_id", "units", marks.alias("marks")).where("element_at(marks, -1) is not null").select("query", "trajectory_id", "marks", F.explode("units").alias("u"))
+    out = out.withColumn("step", F.expr("size(filter(marks, m -> m <= u.unit_index)) - 1")).where("step >= 0 and (u.mask & shiftleft(1L, step)) <> 0")
+    return out.select("query", "trajectory_id", "u.unit_index")
+
+
+def selectivity(units: DataFrame, queries: dict[str, list[SimpleQuery]]) -> DataFrame:
+    """(query, trajectories, units) for each named query, those without a match included; the units are read once."""
+    got = find_each(units, queries).groupBy("query").agg(F.countDistinct("trajectory_id").alias("trajectories"), F.count(F.lit(1)).alias("units"))
+    names = units.sparkSession.createDataFrame([(n,) for n in queries], "query string")
+    return names.join(got, "query", "left").select("query", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("trajectories", "units")])
+
+
+def query_set_averages(units: DataFrame, sets: dict[str, dict[str, list[SimpleQuery]]]) -> DataFrame:
+    """(name, queries, trajectories, units): means over the queries of each named set."""
+    every = {f"{s}/{q}": steps for s, own in sets.items() for q, steps in own.items()}
+    by = selectivity(units, every).withColumn("name", F.substring_index("query", "/", 1))
+    return by.groupBy("name").agg(F.count(F.lit(1)).alias("queries"), F.avg("trajectories").alias("trajectories"), F.avg("units").alias("units"))
+
+
+def split_tokens(text: Column, separator: str) -> Column:
+    """The tokens between separators; an empty text has none, a separator alone has two empty ones."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, re.escape(separator)))

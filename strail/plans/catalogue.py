@@ -224,7 +224,7 @@ def _pruned(layout: str, **options) -> Callable:
 
 
 def _label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).where("unit_index % 7 = 0").select("label_id", F.col("trajectory_id").alias("id"))
+    return units(spark, sf_dir).select("label_id", F.col("trajectory_id").alias("id"))
 
 
 def interval_set_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,9 +236,9 @@ def interval_set_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disjoint intervals of customers for each segment."""
+    """Disjoint intervals of all customers for each segment."""
     c = _read(spark, sf_dir, "customer")
-    return c.where("c_custkey % 3 <> 0").select(F.col("c_mktsegment").alias("k"), F.col("c_custkey").alias("begin"), (F.col("c_custkey") + F.col("c_nationkey") % 2).alias("end")).where("begin % 4 = 1")
+    return c.select(F.col("c_mktsegment").alias("k"), (F.col("c_custkey") * 2).alias("begin"), (F.col("c_custkey") * 2 + F.col("c_nationkey") % 2).alias("end"))
 
 
 def interval_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +250,7 @@ def interval_set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     a = p.select(F.lit(1).alias("k"), F.lit("a").alias("s"), (F.col("p_partkey") * 10).alias("begin"), (F.col("p_partkey") * 10 + F.col("p_size") % 9).alias("end"))
     b = p.select(F.lit(1).alias("k"), F.lit("b").alias("s"), (F.col("p_partkey") * 10 + 3).alias("begin"), (F.col("p_partkey") * 10 + 3 + F.col("p_size") % 6).alias("end"))
-    return S.intersect_intervals(a.union(b), ["k"], "s", 2).drop("k")
+    return S.intersect_intervals(a.union(b), ["k"], 2).drop("k")
 
 
 def k_smallest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,60 +263,6 @@ def _smallest_gaps(spans: DataFrame) -> DataFrame:
     return gaps.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("gap", "begin"))).where("r <= 4").withColumn("r", F.col("r").cast("long"))
 
 
-def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One unit of each trajectory, and the leaves' boxes and histograms it is tried against."""
-    return units(spark, sf_dir).where("unit_index = 0 and trajectory_id % 5 = 0").select("trajectory_id", "label_id", *G.unit_mbb("u_"))
-
-
-def spatial_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each probe and leaf of the first 16: enlargement over the largest enlargement."""
-    leaves = I.leaf_boxes(_laid(spark, sf_dir)).where("node_id < 16")
-    pair = _probe(spark, sf_dir).join(F.broadcast(leaves.select("node_id", *[F.col(c).alias(f"n_{c}") for c in G.MIN_MAX])), F.col("node_id") >= 0)  # 16 rows
-    grown = pair.select("trajectory_id", "node_id", G.volume("n_").alias("size"), *G.union_box("u_", "n_", "g_")).withColumn("enlargement", G.volume("g_") - F.col("size"))
-    top = F.max("enlargement").over(Window.partitionBy("trajectory_id"))
-    return grown.select("trajectory_id", "node_id", "size", (F.col("enlargement") * G.inverse(top)).alias("spatial"))
-
-
-def textual_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = I.histogram(_laid(spark, sf_dir)).where("node_id < 16")
-    total = hist.groupBy("node_id").agg(F.sum("count").alias("total"))
-    pair = _probe(spark, sf_dir).select("trajectory_id", "label_id").join(F.broadcast(total), F.col("node_id") >= 0)  # 16 rows
-    own = pair.join(hist, ["node_id", "label_id"], "left")
-    cost = F.when(F.col("count").isNull(), F.lit(1.0)).otherwise(1 - (F.lit(1) + F.col("count")) / (F.lit(1) + F.col("total")))
-    return own.select("trajectory_id", "node_id", cost.alias("textual"))
-
-
-def choose_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = spatial_cost(spark, sf_dir).join(textual_cost(spark, sf_dir), ["trajectory_id", "node_id"]).withColumn("cost", 0.5 * F.col("spatial") + 0.5 * F.col("textual"))
-    return both.groupBy("trajectory_id").agg(F.min_by("node_id", F.struct("cost", "size", "node_id")).alias("node_id"))
-
-
-def _all_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).select("label_id", F.col("trajectory_id").alias("id"))
-
-
-def _all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disjoint intervals of all customers for each segment."""
-    c = _read(spark, sf_dir, "customer")
-    return c.select(F.col("c_mktsegment").alias("k"), (F.col("c_custkey") * 2).alias("begin"), (F.col("c_custkey") * 2 + F.col("c_nationkey") % 2).alias("end"))
-
-
-def interval_set_build_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ids_to_intervals(_all_label_ids(spark, sf_dir), ["label_id"], 8)
-
-
-def bloom_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bloom(_all_label_ids(spark, sf_dir))
-
-
-def interval_set_trim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.trim_intervals(_all_spans(spark, sf_dir), ["k"], 5)
-
-
-def k_smallest_gap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _smallest_gaps(_all_spans(spark, sf_dir))
-
-
 def _descend(probe: DataFrame, boxes: DataFrame, hist: DataFrame, fanout: int = 16) -> DataFrame:
     """All children that each probe is tried against on its way from the root to a leaf, with their costs and whether it goes there."""
     levels = [(boxes, hist)]
@@ -341,24 +287,24 @@ def _descend(probe: DataFrame, boxes: DataFrame, hist: DataFrame, fanout: int =
     return out
 
 
-def _all_descents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _descents(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = units(spark, sf_dir).where("unit_index = 0").select("trajectory_id", "label_id", *G.unit_mbb("u_"))
     laid = _laid(spark, sf_dir)
     return _descend(probe, I.leaf_boxes(laid), I.histogram(laid))
 
 
-def spatial_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spatial_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each trajectory's first unit and each child of the nodes that it reaches: enlargement over the largest enlargement."""
-    return _all_descents(spark, sf_dir).select("trajectory_id", "level", "node_id", "size", "spatial")
+    return _descents(spark, sf_dir).select("trajectory_id", "level", "node_id", "size", "spatial")
 
 
-def textual_cost_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_descents(spark, sf_dir).select("trajectory_id", "level", "node_id", "textual")
+def textual_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _descents(spark, sf_dir).select("trajectory_id", "level", "node_id", "textual")
 
 
-def choose_child_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def choose_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The child that each trajectory's first unit goes to at each level, down to a leaf (level 0)."""
-    return _all_descents(spark, sf_dir).where("chosen").select("trajectory_id", "level", "node_id")
+    return _descents(spark, sf_dir).where("chosen").select("trajectory_id", "level", "node_id")
 
 
 def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,7 +392,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             sequenced_counts, selectivity_report, match_text, activity_join, activity_runs, split_long_units, route_accumulate, city_pairs, id_remap, slice_offset_limit, leaf_mbb, leaf_summary,
             internal_summary, internal_mbb, label_histogram, matching_children, query_time_window, trim_windows, shared_ids, interval_set_build, interval_set_trim, interval_set_union,
             interval_set_intersect, k_smallest_gap, spatial_cost, textual_cost, choose_child, tree_stats, tree_stats_full, union_area_2d, hilbert_index, hilbert_curve, bloom_roundtrip, random_walk, demo_points,
-            interval_set_build_all, bloom_roundtrip_all, interval_set_trim_all, k_smallest_gap_all, spatial_cost_all, textual_cost_all, choose_child_all,
         )
     },
 }
+
+from strail.plans import more  # noqa: E402  it builds on what stands above
+
+QUERIES.update(more.QUERIES)
+ORACLE_SQL.update(more.ORACLE_SQL)

@@ -102,8 +102,8 @@ VOLUME = "CAST({p}xmax - {p}xmin AS DOUBLE) * CAST({p}ymax - {p}ymin AS DOUBLE)
 ACTS = f"""{POINTS}, acts AS (SELECT user_id AS u, event_id AS line, t AS b, t + 7200 * (event_id % 9) AS e, 'trip' || CAST(event_id % 4 AS VARCHAR) AS name FROM pts WHERE event_type = 'click'),
 lab AS (SELECT user_id AS trajectory_id, event_id, t, x, y, name FROM (SELECT p.*, a.name, row_number() OVER (PARTITION BY event_id ORDER BY b, line) AS r
   FROM pts p LEFT JOIN acts a ON a.u = p.user_id AND p.t BETWEEN a.b AND a.e WHERE event_type <> 'click') WHERE r = 1)"""
-SPANS = "spans AS (SELECT c_mktsegment AS k, c_custkey AS b, c_custkey + c_nationkey % 2 AS e FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 = 1)"
-IDS = "sets AS (SELECT DISTINCT label_id AS k, trajectory_id AS b, trajectory_id AS e FROM units WHERE unit_index % 7 = 0)"
+SPANS = "spans AS (SELECT c_mktsegment AS k, c_custkey * 2 AS b, c_custkey * 2 + c_nationkey % 2 AS e FROM customer)"
+IDS = "sets AS (SELECT DISTINCT label_id AS k, trajectory_id AS b, trajectory_id AS e FROM units)"
 
 
 def trimmed(table: str, capacity: int) -> str:
@@ -112,13 +112,21 @@ tr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap DESC NULLS LAST,
 tp AS (SELECT *, sum(CASE WHEN gap IS NOT NULL AND r <= {capacity - 1} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY b) AS part FROM tr)"""
 
 
-PROBE = f"probe AS (SELECT trajectory_id, label_id, {MBB.format(p='u_')} FROM units WHERE unit_index = 0 AND trajectory_id % 5 = 0)"
-SPATIAL = f"""{PROBE}, pair AS (SELECT p.*, b.* EXCLUDE (n_entries), {VOLUME.format(p='')} AS size FROM probe p CROSS JOIN (SELECT * FROM boxes WHERE node_id < 16) b),
-grown AS (SELECT *, CAST(greatest(u_xmax, xmax) - least(u_xmin, xmin) AS DOUBLE) * CAST(greatest(u_ymax, ymax) - least(u_ymin, ymin) AS DOUBLE) * CAST(greatest(u_tmax, tmax) - least(u_tmin, tmin) AS DOUBLE) - size AS enl FROM pair),
-sp AS (SELECT trajectory_id, node_id, size, enl * CASE WHEN max(enl) OVER (PARTITION BY trajectory_id) <= 1.1102230246251565e-16 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / max(enl) OVER (PARTITION BY trajectory_id) END AS spatial FROM grown)"""
-TEXTUAL = """hist AS (SELECT leaf_id AS node_id, label_id, count(*) AS c FROM laid WHERE leaf_id < 16 GROUP BY ALL), tot AS (SELECT node_id, sum(c) AS total FROM hist GROUP BY node_id),
-tx AS (SELECT p.trajectory_id, t.node_id, CASE WHEN h.c IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(1 + h.c AS DOUBLE) / CAST(1 + t.total AS DOUBLE) END AS textual
-  FROM probe p CROSS JOIN tot t LEFT JOIN hist h ON h.node_id = t.node_id AND h.label_id = p.label_id)"""
+def descent(level: int, nodes: str, under: str) -> str:
+    """Costs of a level's nodes for the probes that reach their parents: pN, and the chosen ones: cN."""
+    grown = " * ".join(f"CAST(greatest(u_{a}max, {a}max) - least(u_{a}min, {a}min) AS DOUBLE)" for a in "xyt")
+    return f"""kid{level} AS ({nodes}), h{level} AS (SELECT leaf_id // {16**level} AS node_id, label_id, count(*) AS c FROM laid GROUP BY ALL), o{level} AS (SELECT node_id, sum(c) AS total FROM h{level} GROUP BY 1),
+e{level} AS (SELECT p.trajectory_id, p.label_id, n.node_id, {VOLUME.format(p='n.')} AS size, {grown} - {VOLUME.format(p='n.')} AS enl FROM probe p JOIN kid{level} n ON {under}),
+p{level} AS (SELECT e.trajectory_id, CAST({level} AS INTEGER) AS level, e.node_id, size, enl * CASE WHEN max(enl) OVER w <= 1.1102230246251565e-16 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / max(enl) OVER w END AS spatial,
+  CASE WHEN h.c IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(1 + h.c AS DOUBLE) / CAST(1 + o.total AS DOUBLE) END AS textual
+  FROM e{level} e JOIN o{level} o USING (node_id) LEFT JOIN h{level} h ON h.node_id = e.node_id AND h.label_id = e.label_id WINDOW w AS (PARTITION BY e.trajectory_id)),
+c{level} AS (SELECT trajectory_id, level, node_id FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY 0.5::DOUBLE * spatial + 0.5::DOUBLE * textual, size, node_id) AS r FROM p{level}) WHERE r = 1)"""
+
+
+#: Two levels are all of a tree of up to 256 leaves; with 16 leaves or fewer the root's children are the leaves.
+_UPPER = "SELECT node_id // 16 AS node_id, " + ", ".join(f"{m}({a}{m}) AS {a}{m}" for m in ("min", "max") for a in "xyt") + " FROM boxes WHERE (SELECT max(node_id) FROM boxes) >= 16 GROUP BY 1"
+DESCENT = f"""{BOXES}, probe AS (SELECT trajectory_id, label_id, {MBB.format(p='u_')} FROM units WHERE unit_index = 0),
+{descent(1, _UPPER, "true")}, {descent(0, "SELECT * FROM boxes", "n.node_id // 16 = coalesce((SELECT c1.node_id FROM c1 WHERE c1.trajectory_id = p.trajectory_id), 0)")}, p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p0)"""
 
 
 def windows(spec: list) -> str:
@@ -210,9 +218,9 @@ p AS (SELECT *, sum(CASE WHEN r IS NULL OR b > r THEN 1 ELSE 0 END) OVER (PARTIT
     "interval_set_intersect": """WITH a AS (SELECT p_partkey * 10 AS b, p_partkey * 10 + p_size % 9 AS e FROM part), c AS (SELECT p_partkey * 10 + 3 AS b, p_partkey * 10 + 3 + p_size % 6 AS e FROM part)
 SELECT greatest(a.b, c.b) AS "begin", least(a.e, c.e) AS "end" FROM a JOIN c ON a.b <= c.e AND c.b <= a.e""",
     "k_smallest_gap": f"WITH {SPANS}, g AS (SELECT k, b AS \"begin\", lead(b) OVER (PARTITION BY k ORDER BY b) - e AS gap FROM spans), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, \"begin\") AS r FROM g WHERE gap IS NOT NULL) SELECT * FROM r WHERE r <= 4",
-    "spatial_cost": f"WITH {BOXES}, {SPATIAL} SELECT * FROM sp",
-    "textual_cost": f"WITH {BOXES}, {PROBE}, {TEXTUAL} SELECT * FROM tx",
-    "choose_child": f"WITH {BOXES}, {SPATIAL}, {TEXTUAL}, c AS (SELECT trajectory_id, node_id, row_number() OVER (PARTITION BY trajectory_id ORDER BY 0.5::DOUBLE * spatial + 0.5::DOUBLE * textual, size, node_id) AS r FROM sp JOIN tx USING (trajectory_id, node_id)) SELECT trajectory_id, node_id FROM c WHERE r = 1",
+    "spatial_cost": f"WITH {DESCENT} SELECT trajectory_id, level, node_id, size, spatial FROM p",
+    "textual_cost": f"WITH {DESCENT} SELECT trajectory_id, level, node_id, textual FROM p",
+    "choose_child": f"WITH {DESCENT} SELECT * FROM c1 UNION ALL SELECT * FROM c0",
     "union_area_2d": f"""WITH {RECT}, full_ AS (SELECT * FROM rect WHERE x1 > x0 AND y1 > y0), cells AS (SELECT DISTINCT k, x, unnest(range(y0, y1)) AS y FROM (SELECT k, y0, y1, unnest(range(x0, x1)) AS x FROM full_))
 SELECT r.k, CAST(count(c.x) AS DOUBLE) AS area FROM (SELECT DISTINCT k FROM rect) r LEFT JOIN cells c USING (k) GROUP BY r.k""",
     "tree_stats": f"""WITH RECURSIVE {LAID}, lv AS (SELECT 0 AS k, count(DISTINCT leaf_id) AS n FROM laid UNION ALL SELECT k + 1, CAST(ceil(n / 16.0) AS BIGINT) FROM lv WHERE n > 1),
@@ -220,5 +228,5 @@ p AS (SELECT DISTINCT k, leaf_id // CAST(pow(16, k) AS BIGINT) AS node, leaf_id
 lists AS (SELECT k, node, label_id, count(*) AS n FROM p GROUP BY ALL), idx AS (SELECT k, node, count(*) AS n FROM lists GROUP BY ALL)
 SELECT CAST((SELECT count(*) FROM laid) AS DOUBLE) / CAST((SELECT n FROM lv WHERE k = 0) * 113 AS DOUBLE) AS leaf_utilization, coalesce((SELECT avg(n) FROM idx), 0) AS internal_index_size, coalesce((SELECT avg(n) FROM lists), 0) AS internal_list_size,
   (SELECT count(*) FROM laid) AS entry_count, (SELECT n FROM lv WHERE k = 0) AS leaf_nodes, CAST((SELECT coalesce(sum(n), 0) FROM lv WHERE k > 0) AS BIGINT) AS internal_nodes, CAST((SELECT max(k) + 1 FROM lv) AS INTEGER) AS height""",
-    "bloom_roundtrip": f"{U} SELECT DISTINCT label_id, trajectory_id AS id, true AS held FROM units WHERE unit_index % 7 = 0",
+    "bloom_roundtrip": f"{U} SELECT DISTINCT label_id, trajectory_id AS id, true AS held FROM units",
 }

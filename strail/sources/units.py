@@ -212,13 +212,21 @@ def random_walk(spark: SparkSession, units: int, per_trajectory: int = 1000, lab
     return seg.where("unit_index >= 0")
 
 
+SLICE = 100_000  # rows that a slice may reach to without ranks over all rows
+
+
 def offset_limit(units: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
     """A slice in (trajectory_id, unit_index) order; an offset beyond the end raises."""
     size = units.count()
     if offset > size:
         raise ValueError(f"offset {offset} is beyond the {size} units")
-    out = units.orderBy("trajectory_id", "unit_index").offset(offset)
-    return out if limit is None else out.limit(limit)
+    if limit is not None and offset + limit <= SLICE:  # so few are kept by each task while it reads
+        return units.orderBy("trajectory_id", "unit_index").offset(offset).limit(limit)
+    from strail.operators.layout import global_rank, parts_for
+
+    place = F.col("__place")
+    placed = global_rank(units, ["trajectory_id", "unit_index"], "__place", parts_for(size)).where(place >= offset)
+    return (placed if limit is None else placed.where(place < offset + limit)).drop("__place")
 
 
 def demo_points(spark: SparkSession, n: int, skewed: bool = False, seed: int = 1) -> DataFrame:

@@ -1,14 +1,12 @@
-"""The queries that run over all rows, against plain Python; their namesakes without _all see a sample only."""
+"""Queries that once saw a sample only, against plain Python over all rows."""
 
 from collections import defaultdict
 
 import numpy as np
-import pytest
 
 from strail.operators import index as I
 from strail.operators import insertion as N
 from strail.plans import catalogue as C
-from strail.schema import IndexConfig
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,10 +16,10 @@ def test_id_sets_hold_all_units(spark):
     for r in C.units(spark, SF).select("label_id", "trajectory_id").collect():
         ids[r[0]].add(r[1])
     spans = defaultdict(list)
-    for r in C.QUERIES["interval_set_build_all"](spark, SF).collect():
+    for r in C.QUERIES["interval_set_build"](spark, SF).collect():
         spans[r["label_id"]].append((r["begin"], r["end"]))
     assert set(spans) == set(ids) and all(len(v) <= 8 and all(any(a <= i <= b for a, b in v) for i in ids[k]) for k, v in spans.items())
-    held = C.QUERIES["bloom_roundtrip_all"](spark, SF).collect()
+    held = C.QUERIES["bloom_roundtrip"](spark, SF).collect()
     assert {(r["label_id"], r["id"]) for r in held} == {(k, i) for k, v in ids.items() for i in v} and all(r["held"] for r in held)
 
 
@@ -30,9 +28,9 @@ def test_spans_are_of_all_customers(spark):
     for r in spark.read.parquet(f"{SF}/customer.parquet").collect():
         rows[r["c_mktsegment"]].append((2 * r["c_custkey"], 2 * r["c_custkey"] + r["c_nationkey"] % 2))
     gaps, trim = defaultdict(list), defaultdict(list)
-    for r in C.QUERIES["k_smallest_gap_all"](spark, SF).collect():
+    for r in C.QUERIES["k_smallest_gap"](spark, SF).collect():
         gaps[r["k"]].append((r["gap"], r["begin"]))
-    for r in C.QUERIES["interval_set_trim_all"](spark, SF).collect():
+    for r in C.QUERIES["interval_set_trim"](spark, SF).collect():
         trim[r["k"]].append((r["begin"], r["end"]))
     for k, v in rows.items():
         v.sort()
@@ -71,10 +69,4 @@ def test_descent_sees_every_trajectory_and_child(spark):
             assert np.allclose([r["spatial"] for r in rows], spatial) and np.allclose([r["textual"] for r in rows], textual)
             parent = next(r["node_id"] for r in rows if r["chosen"])
             assert parent == nodes[N.choose(0.5 * spatial + 0.5 * textual, N.volumes(lows, highs))]
-    assert len({k[0] for k in got}) == len(first) == len({r["trajectory_id"] for r in C.QUERIES["choose_child_all"](spark, SF).collect()})
-
-
-@pytest.mark.parametrize("option", [{"id_set": "bloom"}, {"beta_mode": "increasing"}, {"beta_mode": "decreasing"}])
-def test_index_refuses_what_it_does_not_build(spark, option):
-    with pytest.raises(ValueError, match="not built"):
-        I.build(C.units(spark, SF), IndexConfig(**option))
+    assert len({k[0] for k in got}) == len(first) == len({r["trajectory_id"] for r in C.QUERIES["choose_child"](spark, SF).collect()})
