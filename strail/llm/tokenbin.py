@@ -32,7 +32,7 @@ from strail.llm.common import fresh_path, materialize, text_of
 MAGIC = b"SRECIDX1"
 WORDS = 600_000  # white-space separated words that a worker remembers, but for those of one more text
 SLICE = 4 << 20  # bytes of ids that are flushed at once
-ROWS_PER_FILE = 20_000
+ROWS_PER_FILE, BYTES_PER_FILE = 20_000, 64_000_000  # of texts, about
 
 
 def masked(data: bytes) -> int:
@@ -127,7 +127,8 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the ids of each whole text (null: empty) and end_id, in ascending order of id (nulls first, then by text).
+    """Write the ids of each whole text (null: empty) and end_id, in ascending order of id (nulls first; rows of one id by a hash
+    of the text, so that an id with a large share of all rows is many files).
 
     Returns the manifest (part, file, n_docs, n_ids), a row for each file. Beside a file's index lie its document ids,
     in the order of its records, as an Arrow file.
@@ -167,9 +168,16 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_c
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_FILE))
-    ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    return materialize(ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "manifest")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_FILE), -(-size // BYTES_PER_FILE))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    manifest = materialize(ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "manifest")
+    store, root = fs.FileSystem.from_uri(path)
+    for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith(".writing-"):  # of attempts that were lost
+            store.delete_file(f.path)
+    return manifest
 
 
 class RecordFile:
