@@ -23,6 +23,7 @@ from strail.llm.components import connected_components
 
 SAMPLE = 20_000  # vectors that the centroids are fitted on, about
 CELL_ROWS = 2048  # vectors a cell is meant to hold
+CHUNK_ROWS, SLAB = 4096, 512  # vectors of a cell, with its visitors, that are compared at once; rows of a product
 MAX_CELLS = 4096  # of all labels together, as each task holds the centroids; beyond it cells grow and are compared in more chunks
 
 
@@ -131,9 +132,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
 
     def near(unit: pd.DataFrame) -> np.ndarray:
         x = _matrix(unit["x"], kind)
-        return x @ x.T >= threshold
-
-    found = materialize(compare(placed, ["x"], near), "links")
+        out = np.empty((len(x), len(x)), bool)
+        for a in range(0, len(x), SLAB):  # each pair once, so both sides say the same
+            out[a : a + SLAB, : a + SLAB] = x[a : a + SLAB] @ x[: a + SLAB].T >= threshold
+            own = np.tril(out[a : a + SLAB, a : a + SLAB])
+            out[a : a + SLAB, a : a + SLAB] = own | own.T
+            out[:a, a : a + SLAB] = out[a : a + SLAB, :a].T
+        return out
+
+    found = materialize(compare(placed, ["x"], near, CHUNK_ROWS), "links")
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = classes.select("node", "least", "n").join(links, "node", "left").join(roots, "node", "left")

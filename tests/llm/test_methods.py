@@ -160,3 +160,40 @@ def test_names_of_helper_columns_are_free():
 def test_chat_sql_is_the_same_format(spark):
     t = chat.Template()
     assert all(re.search(re.escape(c[0] + t.escape + c[1:]).replace("'", "''"), re.sub(r"\s+", " ", queries.ORACLE_SQL["op2_chat_format"])) for c in t.controls)
+
+
+def test_op9_an_id_of_many_rows_is_many_files(spark, monkeypatch, tmp_path):
+    import zlib
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from strail.llm import tokenbin
+
+    monkeypatch.setattr(tokenbin, "ROWS_PER_FILE", 10)
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    said = [f"text number {i}" for i in range(80)]
+    rows = spark.createDataFrame([(None, t) for t in said] + [(7, "x")], "doc_id long, text string").repartition(5)
+    path = f"file://{tmp_path}/records"
+    (tmp_path / "records").mkdir()
+    (tmp_path / "records" / ".writing-lost.rec").write_bytes(b"half a rec")
+    manifest = tokenbin.write_records(rows, path, P.path("word_bpe_49k.json"), 2)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == 81 and len(sizes) >= 3 and not list((tmp_path / "records").glob(".writing-*"))
+    got = sorted(tokenbin.read_records(spark, path, manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 80 + [7]
+    crc = lambda t: zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted(r["ids_crc32"] for r in got[:80]) == sorted(map(crc, said))
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+
+
+def test_op3_compares_in_slabs(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SLAB", 7)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 6))
+    x = np.concatenate([x, x + 0.05 * rng.standard_normal(x.shape)])
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(near.sum(axis=1).tolist())) and near.any()
