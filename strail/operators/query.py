@@ -122,6 +122,11 @@ def counts(matches: DataFrame) -> DataFrame:
     return matches.agg(F.countDistinct("trajectory_id").alias("trajectories"), F.count(F.lit(1)).alias("units"))
 
 
+def stats_json(matches: DataFrame) -> DataFrame:
+    """One JSON object: the units and trajectories that matched."""
+    return counts(matches).select(F.to_json(F.struct("units", "trajectories")).alias("json"))
+
+
 def ordered(matches: DataFrame) -> DataFrame:
     return matches.orderBy("trajectory_id", "unit_index")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strail.functions import geometry as G
@@ -515,6 +515,66 @@ def union_volume_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("k").applyInPandas(run, "k long, volume double")
 
 
+@query(sequence(FLAGSHIP, "SELECT '{\"units\":' || count(*) || ',\"trajectories\":' || count(DISTINCT trajectory_id) || '}' AS json FROM res"))
+def query_stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.stats_json(Q.find(C.units(spark, sf_dir), C.steps(FLAGSHIP, spark, sf_dir)))
+
+
+@query(f"""WITH {BOXES}, pt AS (SELECT leaf_id, '[' || string_agg('{{"x0":' || CAST(x0 AS VARCHAR) || ',"y0":' || CAST(y0 AS VARCHAR) || ',"t0":' || t0 || '}}', ',' ORDER BY x0, y0, t0) || ']' AS points FROM laid GROUP BY 1)
+SELECT leaf_id, '{{"mbb":{{' || {" || ',' || ".join(f"""'"{a}{m}":' || CAST({a}{m} AS VARCHAR)""" for m in ("min", "max") for a in "xyt")} || '}},"points":' || points || '}}' AS json FROM boxes JOIN pt ON leaf_id = node_id""")
+def leaf_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.leaf_json(C._laid(spark, sf_dir))
+
+
+# Logs: written from the events as text files, one a user, and read as a folder of logs
+
+def _numbers(c: str) -> Column:
+    return F.format_string("%.3f", F.col(c).cast("double"))
+
+
+def _write_logs(rows: DataFrame, path: str, header: int) -> None:
+    """rows (user, line, value), headed by so many lines in each user's file."""
+    head = rows.select("user").distinct().withColumn("line", F.explode(F.sequence(F.lit(-header), F.lit(-1)))).withColumn("value", F.lit("a header"))
+    every = head.select("user", F.col("line").cast("long").alias("line"), "value").unionByName(rows.select("user", F.col("line").cast("long").alias("line"), "value"))
+    every.repartition("user").sortWithinPartitions("user", "line").select("user", "value").write.partitionBy("user").text(path)
+
+
+def _gps_logs(spark: SparkSession, sf_dir: str) -> str:
+    path = stored.scratch(spark, "gps")
+    p = src.event_points(C._read(spark, sf_dir, "events"))
+    line = F.row_number().over(Window.partitionBy("trajectory_id").orderBy("t", "event_id"))
+    stamp = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd,HH:mm:ss")
+    text = F.concat_ws(",", _numbers("x"), _numbers("y"), F.lit("0"), F.lit("0"), F.lit("0"), stamp)
+    _write_logs(p.select(F.col("trajectory_id").alias("user"), line.alias("line"), text.alias("value")), path, 6)
+    return path
+
+
+USER = lambda: F.regexp_extract("path", "user=([0-9]+)/", 1).cast("long").alias("user")
+
+
+@query(f"WITH {POINTS} SELECT user_id AS \"user\", CAST(row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) + 5 AS INTEGER) AS line, CAST(printf('%.3f', CAST(x AS DOUBLE)) AS DOUBLE) AS lat, CAST(printf('%.3f', CAST(y AS DOUBLE)) AS DOUBLE) AS lon, t FROM pts")
+def gps_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.read_points(spark, _gps_logs(spark, sf_dir) + "/user=*/*.txt").select(USER(), "line", "lat", "lon", "t")
+
+
+@query(f"WITH {POINTS} SELECT user_id AS \"user\", row_number() OVER (ORDER BY user_id || '/') AS trajectory_id FROM (SELECT DISTINCT user_id FROM pts)")
+def path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories are numbered in the order of their files' paths."""
+    points = src.read_points(spark, _gps_logs(spark, sf_dir) + "/user=*/*.txt")
+    return src.number_paths(points).select(USER(), "trajectory_id")
+
+
+@query(f"WITH {POINTS}, a AS (SELECT user_id AS u, event_id, t AS b, t + 7200 * (event_id % 9) AS e, 'trip' || CAST(event_id % 4 AS VARCHAR) AS name FROM pts WHERE event_type = 'click') SELECT u AS \"user\", CAST(row_number() OVER (PARTITION BY u ORDER BY b, event_id) AS INTEGER) AS line, b AS \"begin\", e AS \"end\", name FROM a")
+def activity_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored.scratch(spark, "activities")
+    acts = C._activities(spark, sf_dir)[1]
+    number = F.row_number().over(Window.partitionBy("trajectory_id").orderBy("begin", "line"))
+    stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy/MM/dd HH:mm:ss")
+    text = F.concat_ws("\t", stamp("begin"), stamp("end"), F.col("name"))
+    _write_logs(acts.select(F.col("trajectory_id").alias("user"), number.alias("number"), text.alias("value")).withColumnRenamed("number", "line"), path, 1)
+    return src.read_activities(spark, path + "/user=*/*.txt").select(USER(), "line", "begin", "end", "name")
+
+
 # Made data: what holds for all of it
 
 @query("SELECT 5000 AS units, true AS numbered, true AS chained, true AS labels_hold, true AS time_grows")
