@@ -8,7 +8,6 @@ n-gram is out of its place in the language's profile; n-grams that the language
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +26,7 @@ PER_LANGUAGE = 400  # documents that a language is learned from: this many are e
 WORDS = 200_000  # words whose n-grams a worker remembers
 SPARE = 1 << 16  # n-grams of no profile that a worker remembers; more are forgotten before the next text
 
-#: Signs of numbers that are neither decimal digits nor letters, such as fractions: \w takes them in.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_letters = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+").findall
+_words = re.compile(r"[^\W\d_]+").findall  # runs of letters, and of signs of numbers such as fractions, which \w takes in
 
 
 def grams(word: str) -> list[str]:
@@ -38,7 +35,13 @@ def grams(word: str) -> list[str]:
 
 
 def word_counts(text: str | None) -> Counter:
-    return Counter(_letters(text.lower())) if text else Counter()
+    """How often each run of letters occurs."""
+    count = Counter(_words(text.lower())) if text else Counter()
+    for w in [w for w in count if not w.isalpha()]:
+        n = count.pop(w)
+        for run in "".join(c if c.isalpha() else " " for c in w).split():
+            count[run] += n
+    return count
 
 
 @dataclass
