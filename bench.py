@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 HEADLINE = [
     "units_from_events", "unit_geometry", "simple_box_label", "mbb_vs_exact", "sequenced_2", "sequenced_3", "sequenced_4", "sequenced_3_by_joins", "activity_join", "activity_runs", "split_long_units",
     "route_accumulate", "id_remap", "str_plain", "str_lf", "hilbert_leaves", "leaf_summary", "internal_summary", "interval_set_build", "hilbert_index",
-    "selectivity_report", "shared_ids", "pruned_equals_full", "pruned_interval_ids", "pruned_bloom_ids", "levelwise_leaves", "pruned_after_insert", "tree_stats", "query_set_averages",
+    "selectivity_report", "shared_ids", "pruned_equals_full", "pruned_interval_ids", "pruned_bloom_ids", "levelwise_leaves", "tree_stats", "query_set_averages", "index_build",
 ]
 
 

@@ -30,6 +30,12 @@ class Index:
     config: IndexConfig
     height: int
     size: int
+    kept: tuple = ()  # tables that the build keeps
+
+    def close(self) -> None:
+        """Let go of the tables that the build kept; the index can still be read, at the price of building it again."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def leaf_boxes(units: DataFrame) -> DataFrame:
@@ -99,7 +105,9 @@ def build(units: DataFrame, config: IndexConfig, labels: DataFrame | None = None
     from strail.operators.layout import apply_layout
 
     laid = keep(apply_layout(units, config.layout, config.leaf_fanout, config.beta, config.internal_fanout, config.beta_mode))
-    return _numbered(laid, config, labels)
+    index = _numbered(laid, config, labels)
+    laid.unpersist()  # the numbered units are kept by now
+    return index
 
 
 def _numbered(laid: DataFrame, config: IndexConfig, labels: DataFrame | None) -> Index:
@@ -112,20 +120,24 @@ def _numbered(laid: DataFrame, config: IndexConfig, labels: DataFrame | None) ->
 def summarize(laid: DataFrame, config: IndexConfig, labels: DataFrame | None = None, least_height: int = 1) -> Index:
     """Nodes and postings of units with leaf_id, level by level up to one root; node n of a level is under node n DIV fan-out of the next."""
     level, nodes, posts = 0, keep(leaf_boxes(laid)), keep(leaf_summary(laid))
+    kept = [laid, nodes, posts]
     all_nodes, all_posts = [nodes.withColumn("level", F.lit(0))], [posts.withColumn("level", F.lit(0))]
     while nodes.count() > 1 or level + 1 < least_height:
         level, nodes, posts = level + 1, keep(internal_boxes(nodes, config.internal_fanout)), keep(internal_summary(posts, config.internal_fanout))
+        kept += [nodes, posts]
         all_nodes.append(nodes.withColumn("level", F.lit(level)))
         all_posts.append(posts.withColumn("level", F.lit(level)))
     tree = reduce(DataFrame.unionByName, all_nodes).withColumn("parent_id", F.when(F.col("level") < level, parent_of(F.col("node_id"), config.internal_fanout)))
     postings = reduce(DataFrame.unionByName, all_posts).select("level", "node_id", "label_id", "unit_count", "ids")
     if config.id_set == "interval":
-        postings = to_interval_postings(postings, config.lambda_)
+        postings = keep(to_interval_postings(postings, config.lambda_))
+        kept.append(postings)
     elif config.id_set == "bloom":
         postings = keep(to_bloom_postings(postings, config.lambda_))
+        kept.append(postings)
     elif config.id_set == "null":
         postings = postings.drop("ids")
-    return Index(laid, tree.select("level", "node_id", "parent_id", "n_entries", *BOX), postings, labels, config, level + 1, laid.count())
+    return Index(laid, tree.select("level", "node_id", "parent_id", "n_entries", *BOX), postings, labels, config, level + 1, laid.count(), tuple(kept))
 
 
 def naive_summary(units: DataFrame, fanout: int, level: int) -> DataFrame:

@@ -7,14 +7,16 @@ if the caller vouches for that, or a check of the data does.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strail.functions.geometry import meets
-from strail.functions.idset import bloom_words, intersect_intervals, overlaps_any, trim_intervals, union_intervals
+from strail.functions.idset import IntervalSet, bloom_words, intersect_intervals, overlaps_any, trim_intervals, union_intervals
 from strail.operators.index import Index
-from strail.operators.query import SimpleQuery, find
+from strail.operators.query import SimpleQuery, find, find_any
 from strail.operators.stored import keep
 
 PUSHED = 2000  # nodes that are pushed down as a list; more go through a semi-join
@@ -103,22 +105,51 @@ def _shared_spans(cand: DataFrame, n: int, capacity: int) -> list[tuple[int, int
     return sorted((r["begin"], r["end"]) for r in both.collect())
 
 
+def _few(rows: list, steps: int, index: Index, monotone: bool) -> tuple[list, list[tuple[int, int]] | None] | None:
+    """A level's candidates, few enough for the driver, that windows and id sets leave, and the shared spans; None if a step has none."""
+    got = [[r for r in rows if r["step"] == i] for i in range(steps)]
+    if not all(got):
+        return None
+    if monotone:
+        windows = trim_windows([TimeWindow(min(r["tmin"] for r in own), max(r["tmax"] for r in own)) for own in got])
+        if windows is None:
+            return None
+        got = [[r for r in own if r["tmin"] <= w.end and r["tmax"] >= w.begin] for own, w in zip(got, windows, strict=True)]
+    spans = None
+    if index.config.id_set == "interval":
+        sets = [IntervalSet([], index.config.lambda_).union(*[IntervalSet([(i["begin"], i["end"]) for i in r["ids"]]) for r in own]) for own in got]
+        spans = sets[0].intersection(*sets[1:]).items
+        got = [[r for r in own if any(b <= i["end"] and i["begin"] <= e for i in r["ids"] for b, e in spans)] for own in got]
+    elif index.config.id_set == "bloom":
+        words = []
+        for own in got:
+            either: dict[int, int] = {}
+            for r in own:
+                for w, bits in r["ids"].items():
+                    either[w] = either.get(w, 0) | bits
+            words.append(either)
+        both = {w: reduce(and_, (x[w] for x in words)) for w in words[0] if all(w in x for x in words)}
+        got = [[r for r in own if any(bits & both.get(w, 0) for w, bits in r["ids"].items())] for own in got]
+    return None if not all(got) else ([r for own in got for r in own], spans)
+
+
 def search(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> Search:
     """From the root down: on each level the children of the nodes that stayed, by box, label, time windows and id sets.
 
-    Interval and Bloom sets are compared on every level, exact ones by find_pruned() for the units. Nodes that stay are
-    held as a list while they are few (PUSHED a step), so that the next level's scan takes them as a filter, else as a table.
+    Interval and Bloom sets are compared on every level, exact ones by find_pruned() for the units. While candidates are few
+    (PUSHED a step, each with an id set of bounded size) they come to the driver, one job a level, and the next level's scan
+    takes them as a filter; more of them stay tables.
     """
     n, visited, spans = len(steps), [], None
     alive: dict[int, list[int]] | DataFrame | None = None
-    nodes_of, posts_of = index.nodes, index.postings
-    has_ids = "ids" in posts_of.columns
+    stay = None
+    kinds = ["ids"] if index.config.id_set in ("interval", "bloom") else []
     for level in range(index.height - 1, -1, -1):
-        nodes = nodes_of.where(F.col("level") == level).select("node_id", "parent_id", "tmin", "tmax", _one_of("by_box", steps, lambda s: meets(s.box))).where(F.size("by_box") > 0)
-        posts = posts_of.where(F.col("level") == level).select("node_id", *(["ids"] if has_ids else []), _one_of("by_label", steps, _labelled)).where(F.size("by_label") > 0)
+        nodes = index.nodes.where(F.col("level") == level).select("node_id", "parent_id", "tmin", "tmax", _one_of("by_box", steps, lambda s: meets(s.box))).where(F.size("by_box") > 0)
+        posts = index.postings.where(F.col("level") == level).select("node_id", *kinds, _one_of("by_label", steps, _labelled)).where(F.size("by_label") > 0)
         if isinstance(alive, dict):
             nodes = nodes.where(F.col("parent_id").isin(sorted({p for own in alive.values() for p in own})))
-        cand = nodes.join(posts, "node_id").select("node_id", "parent_id", "tmin", "tmax", *(["ids"] if has_ids else []), F.explode(F.array_intersect("by_box", "by_label")).alias("step"))
+        cand = nodes.join(posts, "node_id").select("node_id", "parent_id", "tmin", "tmax", *kinds, F.explode(F.array_intersect("by_box", "by_label")).alias("step"))
         if isinstance(alive, dict):
             own = F.lit(False)
             for i, parents in alive.items():
@@ -126,6 +157,15 @@ def search(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> Se
             cand = cand.where(own)
         elif alive is not None:
             cand = cand.join(alive.select("step", F.col("node_id").alias("parent_id")), ["step", "parent_id"], "left_semi")
+        rows = cand.select("step", "node_id", "tmin", "tmax", *kinds).limit(PUSHED * n + 1).collect()  # bounded
+        if len(rows) <= PUSHED * n:
+            got = _few(rows, n, index, monotone)
+            if got is None:
+                return Search(None, None, visited)
+            rows, spans = got
+            alive = {i: sorted({r["node_id"] for r in rows if r["step"] == i}) for i in range(n)}
+            visited.append((level, len({r["node_id"] for r in rows})))
+            continue
         if monotone:
             got = {r["step"]: TimeWindow(r["a"], r["b"]) for r in cand.groupBy("step").agg(F.min("tmin").alias("a"), F.max("tmax").alias("b")).collect()}
             windows = trim_windows([got[i] for i in range(n)]) if len(got) == n else None
@@ -137,29 +177,19 @@ def search(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> Se
             cand = cand.where(inside)
         if index.config.id_set == "interval":
             spans = _shared_spans(cand, n, index.config.lambda_)
-            if not spans:
-                return Search(None, None, visited)
             cand = cand.where(overlaps_any(F.col("ids"), spans))
         elif index.config.id_set == "bloom":
             words = bloom_words(bloom_words(cand, ["step"], "or", n, "ids").select("step", F.create_map("word", "bits").alias("filter")), [], "and", n)
             shared = {r["word"]: r["bits"] for r in words.collect()}  # as many words as a filter has
-            if not shared:
-                return Search(None, None, visited)
-            table = F.create_map(*[x for w, b in shared.items() for x in (F.lit(w).cast("long"), F.lit(b).cast("long"))])
+            table = F.create_map(*[x for w, b in {-1: 0, **shared}.items() for x in (F.lit(w).cast("long"), F.lit(b).cast("long"))])
             common = F.aggregate(F.map_entries("ids"), F.lit(0), lambda a, e: a + F.bit_count(e["value"].bitwiseAND(F.coalesce(F.element_at(table, e["key"]), F.lit(0).cast("long")))))
             cand = cand.where(common > 0)
-        stay = cand.select("step", "node_id").distinct()
-        few = stay.limit(PUSHED * n + 1).collect()  # bounded
-        if len({r["step"] for r in few}) < n and len(few) <= PUSHED * n:
+        alive = stay = keep(cand.select("step", "node_id").distinct())
+        if stay.select("step").distinct().count() < n:
             return Search(None, None, visited)
-        if len(few) <= PUSHED * n:
-            alive = {i: sorted(r["node_id"] for r in few if r["step"] == i) for i in range(n)}
-            visited.append((level, len({r["node_id"] for r in few})))
-            stay = index.units.sparkSession.createDataFrame([(r["step"], r["node_id"]) for r in few], "step int, node_id long")
-        else:
-            alive = keep(stay)
-            visited.append((level, alive.select("node_id").distinct().count()))
-            stay = alive
+        visited.append((level, stay.select("node_id").distinct().count()))
+    if isinstance(alive, dict):
+        stay = index.units.sparkSession.createDataFrame([(i, p) for i, own in alive.items() for p in own], "step int, node_id long")
     return Search(stay, spans, visited)
 
 
@@ -197,4 +227,4 @@ def find_pruned(index: Index, steps: list[SimpleQuery], monotone: bool = False)
         units = units.where(own)
     elif index.config.id_set == "exact":
         units = units.join(shared_ids(index, steps), "trajectory_id", "left_semi")
-    return find(units, steps)
+    return find_any(units, steps)

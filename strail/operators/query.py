@@ -21,6 +21,9 @@ from strail.functions.geometry import Box, segment_hits
 from strail.schema import MAX_FLOAT, MAX_TIME, UNITS
 
 
+GATHERED = 1_000_000  # matching units of a trajectory that one row may hold
+
+
 @dataclass(frozen=True)
 class SimpleQuery:
     box: Box
@@ -117,6 +120,24 @@ def find_by_joins(units: DataFrame, steps: list[SimpleQuery]) -> DataFrame:
     return out
 
 
+def find_any(units: DataFrame, steps: list[SimpleQuery], most: int = GATHERED) -> DataFrame:
+    """find() for trajectories with at most `most` matching units, find_by_joins() for the longer ones; one more count before.
+
+    There are at most as many longer trajectories as matches by `most`, so their ids are a short list.
+    """
+    if len(steps) < 2:
+        return find(units, steps)
+    hit = F.lit(False)
+    for s in steps:
+        hit = hit | F.coalesce(s.predicate(), F.lit(False))
+    n = units.where(hit).groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n"))
+    long = [r["trajectory_id"] for r in n.where(F.col("n") > most).select("trajectory_id").collect()]
+    if not long:
+        return find(units, steps)
+    own = F.col("trajectory_id").isin(long)
+    return find(units.where(~own), steps).unionByName(find_by_joins(units.where(own), steps))
+
+
 def counts(matches: DataFrame) -> DataFrame:
     """One row: trajectories, units."""
     return matches.agg(F.countDistinct("trajectory_id").alias("trajectories"), F.count(F.lit(1)).alias("units"))

@@ -191,8 +191,26 @@ def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.histogram(_laid(spark, sf_dir))
 
 
+_indexes: dict[tuple, I.Index] = {}
+
+
+def _config(**options) -> IndexConfig:
+    return IndexConfig(**{"layout": "str_lf", "internal_fanout": 16, "id_set": "exact", **options})
+
+
 def _index(spark: SparkSession, sf_dir: str, **options) -> I.Index:
-    return I.build(units(spark, sf_dir), IndexConfig(**{"layout": "str_lf", "internal_fanout": 16, "id_set": "exact", **options}))
+    """The index of a folder, built once a session for all queries of the same settings."""
+    config = _config(**options)
+    key = (spark.sparkContext.applicationId, sf_dir, config)
+    if key not in _indexes:
+        _indexes[key] = I.build(units(spark, sf_dir), config)
+    return _indexes[key]
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and entries of each level of an index that is built anew."""
+    nodes = I.build(units(spark, sf_dir), _config()).nodes
+    return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n_entries").alias("entries"))
 
 
 def matching_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,6 +393,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequenced_3": _sequence(FLAGSHIP),
     "sequenced_4": _sequence(FOUR),
     "sequenced_3_by_joins": _sequence(FLAGSHIP, Q.find_by_joins),
+    "sequenced_3_any": _sequence(FLAGSHIP, lambda u, s: Q.find_any(u, s, 4)),
     "sequenced_empty": _sequence([FLAGSHIP[0], ((0, 0, 0, 0, 0, 1), ["error"])]),
     "str_plain": _str("plain"),
     "str_lf": _str("lf"),
@@ -390,7 +409,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         for f in (
             units_from_orders, label_dictionary, dictionary_extend, dictionary_json, unit_geometry, box_extend_intersect, simple_box_label, simple_box_any, mbb_vs_exact, interval_predicates, scalar_helpers,
             sequenced_counts, selectivity_report, match_text, activity_join, activity_runs, split_long_units, route_accumulate, city_pairs, id_remap, slice_offset_limit, leaf_mbb, leaf_summary,
-            internal_summary, internal_mbb, label_histogram, matching_children, query_time_window, trim_windows, shared_ids, interval_set_build, interval_set_trim, interval_set_union,
+            internal_summary, internal_mbb, label_histogram, index_build, matching_children, query_time_window, trim_windows, shared_ids, interval_set_build, interval_set_trim, interval_set_union,
             interval_set_intersect, k_smallest_gap, spatial_cost, textual_cost, choose_child, tree_stats, tree_stats_full, union_area_2d, hilbert_index, hilbert_curve, bloom_roundtrip, random_walk, demo_points,
         )
     },

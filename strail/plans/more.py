@@ -381,6 +381,13 @@ def entry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.doubles(src.read_units(spark, path))
 
 
+@query("SELECT l_orderkey AS trajectory_id, CAST(l_linenumber AS BIGINT) AS unit_index, CAST(CAST(l_quantity AS FLOAT) AS DOUBLE) AS x0, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS y0, CAST(l_partkey AS BIGINT) AS t0, CAST(CAST(l_quantity + 1 AS FLOAT) AS DOUBLE) AS x1, CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS y1, CAST(l_partkey + l_suppkey AS BIGINT) AS t1, CAST(l_suppkey AS BIGINT) AS label_id FROM lineitem")
+def mapped_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as units, by a map of columns."""
+    columns = {"trajectory_id": "l_orderkey", "unit_index": "l_linenumber", "x0": "l_quantity", "y0": "l_tax", "t0": "l_partkey", "x1": "l_quantity + 1", "y1": "l_discount", "t1": "l_partkey + l_suppkey", "label_id": "l_suppkey"}
+    return C.doubles(src.as_units(C._read(spark, sf_dir, "lineitem"), columns))
+
+
 # Layouts
 
 @query(f"{U}, n AS (SELECT count(*) AS n FROM units) SELECT s AS layout, n AS units, true AS each_once, true AS within_fanout FROM n CROSS JOIN (VALUES ('str_plain'), ('str_lf'), ('str_ll'), ('hilbert'), ('obo'), ('quickload')) t(s)")

@@ -179,6 +179,8 @@ greatest(1, CAST(floor(l_discount * 50) AS BIGINT)) AS seconds, coalesce(nullif(
     "sequenced_3": sequence(FLAGSHIP),
     "sequenced_4": sequence(FOUR),
     "sequenced_3_by_joins": sequence(FLAGSHIP),
+    "sequenced_3_any": sequence(FLAGSHIP),
+    "index_build": f"""WITH RECURSIVE {LAID}, lv AS (SELECT 0 AS k, count(DISTINCT leaf_id) AS n, count(*) AS e FROM laid UNION ALL SELECT k + 1, CAST(ceil(n / 16.0) AS BIGINT), n FROM lv WHERE n > 1) SELECT CAST(k AS INTEGER) AS level, n AS nodes, e AS entries FROM lv""",
     "sequenced_empty": sequence([FLAGSHIP[0], ((0, 0, 0, 0, 0, 1), ["error"])]),
     "pruned_equals_full": sequence(FLAGSHIP),
     "pruned_hilbert": sequence(FLAGSHIP),

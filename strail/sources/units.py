@@ -20,6 +20,14 @@ def write_units(units: DataFrame, path: str, mode: str = "overwrite") -> None:
     units.select(*UNITS.fieldNames()).write.mode(mode).parquet(path)
 
 
+def as_units(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Any table as units: columns names the column, or the SQL expression, of each field; all fields are needed."""
+    missing = [f for f in UNITS.fieldNames() if f not in columns]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}")
+    return rows.select(*[F.expr(columns[f.name]).cast(f.dataType).alias(f.name) for f in UNITS])
+
+
 def units_from_points(points: DataFrame, order: list[str], label: str = "name") -> DataFrame:
     """points (trajectory_id, t, x, y, label, order columns) -> a unit for each pair of neighbours; the later point's label.
 

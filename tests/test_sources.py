@@ -43,6 +43,11 @@ def test_dictionary(spark):
     assert {r["name"]: r["label_id"] for r in more.collect()} == {"C": 1, "B": 2, "D": 3, "A": 4, "E": 5}
 
 
+def test_units_by_a_map_need_all_fields(spark):
+    with pytest.raises(ValueError, match="unit_index"):
+        U.as_units(spark.range(1), {"trajectory_id": "id"})
+
+
 def test_offset_beyond_the_end(spark):
     with pytest.raises(ValueError):
         U.offset_limit(U.random_walk(spark, 10, 5, 2), 11)
