@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strail.functions.geometry import meets
 from strail.functions.idset import IntervalSet, bloom_words, intersect_intervals, overlaps_any, trim_intervals, union_intervals
 from strail.operators.index import Index
-from strail.operators.query import SimpleQuery, find, find_any
+from strail.operators.query import GATHERED, SimpleQuery, find, find_any
 from strail.operators.stored import keep
 
 PUSHED = 2000  # nodes that are pushed down as a list; more go through a semi-join
@@ -95,6 +95,7 @@ class Search:
     leaves: DataFrame | None  # step, node_id
     spans: list[tuple[int, int]] | None
     visited: list[tuple[int, int]]  # level, nodes that stayed
+    few: list[int] | None = None  # the leaves of all steps, where they are few
 
 
 def _shared_spans(cand: DataFrame, n: int, capacity: int) -> list[tuple[int, int]]:
@@ -188,9 +189,10 @@ def search(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> Se
         if stay.select("step").distinct().count() < n:
             return Search(None, None, visited)
         visited.append((level, stay.select("node_id").distinct().count()))
-    if isinstance(alive, dict):
-        stay = index.units.sparkSession.createDataFrame([(i, p) for i, own in alive.items() for p in own], "step int, node_id long")
-    return Search(stay, spans, visited)
+    if not isinstance(alive, dict):
+        return Search(stay, spans, visited)
+    stay = index.units.sparkSession.createDataFrame([(i, p) for i, own in alive.items() for p in own], "step int, node_id long")
+    return Search(stay, spans, visited, sorted({p for own in alive.values() for p in own}))
 
 
 def leaves(index: Index, steps: list[SimpleQuery], monotone: bool = False) -> DataFrame | None:
@@ -214,12 +216,10 @@ def find_pruned(index: Index, steps: list[SimpleQuery], monotone: bool = False)
     found = search(index, steps, monotone)
     if found.leaves is None:
         return find(index.units.where("false"), steps)
-    kept = found.leaves.select(F.col("node_id").alias("leaf_id")).distinct()
-    few = kept.limit(PUSHED + 1).collect()  # bounded
-    if len(few) <= PUSHED:
-        units = index.units.where(F.col("leaf_id").isin([r["leaf_id"] for r in few])) if few else index.units.where("false")
+    if found.few is not None and len(found.few) <= PUSHED:
+        units = index.units.where(F.col("leaf_id").isin(found.few))
     else:
-        units = index.units.join(kept, "leaf_id", "left_semi")
+        units = index.units.join(found.leaves.select(F.col("node_id").alias("leaf_id")).distinct(), "leaf_id", "left_semi")
     if found.spans is not None:
         own = F.lit(False)
         for b, e in found.spans:
@@ -227,4 +227,4 @@ def find_pruned(index: Index, steps: list[SimpleQuery], monotone: bool = False)
         units = units.where(own)
     elif index.config.id_set == "exact":
         units = units.join(shared_ids(index, steps), "trajectory_id", "left_semi")
-    return find_any(units, steps)
+    return find(units, steps) if index.size <= GATHERED else find_any(units, steps)
