@@ -34,11 +34,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there and lost executors lose nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet in the shared folder and read it back: the lineage ends there and lost executors lose nothing.
+
+    The write's own shuffle files go as soon as it is done, as nothing but the written table is read afterwards.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
