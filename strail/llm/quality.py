@@ -138,10 +138,17 @@ class Scorer:
             group = [Counter(_tokens(t)) for t in texts[i : i + GROUP]]
             new = list(dict.fromkeys(w for c in group for w in c if w not in self.place))
             if len(self.place) + len(new) > REMEMBERED:
-                self.place, self.table, new = {}, self.table[:0], list(dict.fromkeys(w for c in group for w in c))
+                self.place, new = {}, list(dict.fromkeys(w for c in group for w in c))
             if new:
-                self.table = np.concatenate([self.table[: len(self.place)], *(self.model.vectors(new[k : k + 20_000]) for k in range(0, len(new), 20_000))])
-                self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+                have = len(self.place)
+                if have + len(new) > len(self.table):  # once, but for a group of more words than are remembered
+                    table = np.empty((max(REMEMBERED, have + len(new)), 2 * DIM), np.float32)
+                    table[:have] = self.table[:have]
+                    self.table = table
+                for k in range(0, len(new), 20_000):
+                    part = self.model.vectors(new[k : k + 20_000])
+                    self.table[have + k : have + k + len(part)] = part
+                self.place.update(zip(new, range(have, have + len(new)), strict=True))
             for k, count in enumerate(group, i):
                 if count:
                     ids = np.fromiter(map(self.place.__getitem__, count), np.int64, len(count))

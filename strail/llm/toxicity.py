@@ -327,6 +327,8 @@ _scorers: dict[str, tuple] = {}
 def scored(docs: DataFrame, model, scorer, text_col: str, keep_text: bool = False, out_col: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != out_col and (keep_text or c != text_col)]
+    sent = rest if text_col in rest else [*rest, text_col]  # each text goes to Python once
+    at = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, value = scorer.__module__, shared.value
@@ -335,8 +337,8 @@ def scored(docs: DataFrame, model, scorer, text_col: str, keep_text: bool = Fals
         own = _scorers[name][1]
         for b in batches:
             start, size, texts = 0, 0, []
-            for i, t in enumerate(b.column(len(rest))):
-                texts.append(t.as_py())
+            for i, t in enumerate(b.column(at)):
+                texts.append(t.as_py() or "")
                 size += len(texts[-1])
                 if size > SLICE_CHARS or i + 1 == b.num_rows:
                     part = b.slice(start, len(texts))
@@ -344,4 +346,4 @@ def scored(docs: DataFrame, model, scorer, text_col: str, keep_text: bool = Fals
                     start, size, texts = i + 1, 0, []
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [f"`{out_col}` double"])
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
