@@ -25,13 +25,14 @@ What is joined grows with the corpus, so joins are sort-merge joins at every siz
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strail.llm.common import arrow_bytes, discard, materialize, own_names, text_of
@@ -195,6 +196,12 @@ def _digests(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.frombuffer(own, np.int64).reshape(-1, 2)
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files go once the JVM sees that nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For counts 2, 3: the owners 0, 0, 1, 1, 1 and the places 0, 1, 0, 1, 2."""
     own = np.repeat(np.arange(len(count)), count)
@@ -217,6 +224,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if length <= GRAM:
         raise ValueError(f"length must be more than {GRAM}")
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     key_col, i_col, k_col = own_names(docs.columns + [runs_col], "key", "i", "k")
     source = docs.withColumn(text_col, text_of(text_col)).withColumn(key_col, F.xxhash64(text_col))
@@ -241,6 +249,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = materialize(every.join(again.hint("merge"), "h", "left_semi"), "found")
     discard(every)
     discard(again)
+    _release(spark)
     one = F.first(F.struct("id", "key", "start", "n", "place")).alias("one")
     classes = materialize(found.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("c"), one).select("h", "c", "one.*"), "classes")
     open_ = classes.groupBy("h").agg(F.count(F.lit(1)).alias("distinct"), F.sum((F.col("c") == 1).cast("int")).alias("single"))
@@ -263,12 +272,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     content = materialize(content, "content")
     discard(classes)
     discard(open_)
+    _release(spark)
     single = [_expanded(content.where("not hot"), [F.col("h")], length), *_split_hot(content.where("hot"), kind, length)]
     out = single[0]
     for more in single[1:]:
         out = out.union(more)
     single = materialize(out, "single")
     discard(content)
+    _release(spark)
     sign = lambda df, s: df.select("id", "key", F.struct("start", "n", F.lit(s).alias("sign")).alias("run"))
     runs = sign(found, 1).union(sign(single, -1)).groupBy("id", "key").agg(F.collect_list("run").alias(runs_col))
     runs = runs.withColumnsRenamed({"id": i_col, "key": k_col})
