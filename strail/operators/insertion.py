@@ -7,7 +7,7 @@ to the first child.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -45,68 +45,174 @@ def choose(cost: np.ndarray, size: np.ndarray) -> int:
     return int(np.lexsort((np.arange(len(cost)), size, cost))[0])
 
 
+def _planes(corners: np.ndarray) -> np.ndarray:
+    """Rows of corners as three contiguous planes, on which single operations are fast."""
+    return np.ascontiguousarray(np.asarray(corners, np.float64).T)
+
+
+def _volume(d: np.ndarray) -> np.ndarray:
+    return d[0] * d[1] * d[2]
+
+
+def _shares(labels: list[dict[int, int]], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Counts (labels x entries), the largest common share of each pair, and each entry's label where it has one only."""
+    n = len(labels)
+    column = {k: j for j, k in enumerate(sorted({k for x in labels for k in x}))}
+    if all(len(x) == 1 for x in labels):
+        code = np.array([column[next(iter(x))] for x in labels])
+        return np.zeros((len(column), 0)), np.where(code[:, None] == code[None], (totals[:, None] + totals[None]) / (totals[:, None] + totals[None]), 0), code
+    count = np.zeros((len(column), n))
+    for i, x in enumerate(labels):
+        for k, v in x.items():
+            count[column[k], i] = v
+    share = np.zeros((n, n))
+    for c in count:
+        own = np.flatnonzero(c)
+        at = np.ix_(own, own)
+        share[at] = np.maximum(share[at], (c[own, None] + c[None, own]) / (totals[own, None] + totals[None, own]))
+    return count, share, None
+
+
 def split(lows: np.ndarray, highs: np.ndarray, labels: list[dict[int, int]], beta: float, least: int) -> np.ndarray:
-    """Quadratic split of the entries of an overflowing node: True for those of the right half."""
+    """Quadratic split of the entries of an overflowing node: True for those of the right half.
+
+    The costs of all entries for both halves are arrays; an entry that goes to a half changes that half's enlargements and
+    the textual costs, so a step is a fixed number of array operations.
+    """
     n = len(lows)
-    size = volumes(lows, highs)
-    joint = volumes(np.minimum(lows[:, None], lows[None]), np.maximum(highs[:, None], highs[None]))
-    waste = np.maximum(joint - size[:, None] - size[None], 0)
-    waste = waste * inverse(float(waste[np.triu_indices(n, 1)].max(initial=0)))
+    low, high = _planes(lows), _planes(highs)
+    size = _volume(np.maximum(high - low, 0))
+    d = [np.maximum(np.maximum(h[:, None], h[None]) - np.minimum(w[:, None], w[None]), 0) for w, h in zip(low, high, strict=True)]
+    waste = np.maximum(d[0] * d[1] * d[2] - size[:, None] - size[None], 0)
+    upper = np.triu(np.ones((n, n), bool), 1)
+    waste = waste * inverse(float(waste[upper].max(initial=0)))
     totals = np.array([sum(x.values()) for x in labels], np.float64)
-    names = sorted({k for x in labels for k in x})
-    count = np.array([[x.get(k, 0) for k in names] for x in labels], np.float64)
-    share = np.zeros((n, n))
-    for j in range(len(names)):
-        c = count[:, j]
-        both = (c[:, None] > 0) & (c[None] > 0)
-        share = np.maximum(share, np.where(both, (c[:, None] + c[None]) / (totals[:, None] + totals[None]), 0))
-    cost = np.where(np.triu(np.ones((n, n), bool), 1), beta * waste + (1 - beta) * (1 - share), -np.inf)
+    count, share, code = _shares(labels, totals)
+    cost = np.where(upper, beta * waste + (1 - beta) * (1 - share), -np.inf)
     a, b = np.unravel_index(int(np.argmax(cost)), cost.shape)  # of equals the first pair
     side = np.full(n, -1)
     side[a], side[b] = 0, 1
-    box = [[lows[a].copy(), highs[a].copy()], [lows[b].copy(), highs[b].copy()]]
-    seen, weight, held = [dict(labels[a]), dict(labels[b])], [totals[a], totals[b]], [1, 1]
-    rest = [i for i in range(n) if i not in (a, b)]
+    box_low, box_high = [low[:, a], low[:, b]], [high[:, a], high[:, b]]
+    seen, weight, held = np.zeros((2, len(count))), np.array([[totals[a]], [totals[b]]]), [1, 1]
+    for s, i in enumerate((a, b)):
+        if code is not None:
+            seen[s, code[i]] = totals[i]
+        else:
+            seen[s] = count[:, i]
+    grown, rest = np.empty((2, n)), n - 2
+    absent = count == 0
+
+    def enlarge(s: int) -> None:
+        lo, hi = box_low[s][:, None], box_high[s][:, None]
+        grown[s] = _volume(np.maximum(np.maximum(high, hi) - np.minimum(low, lo), 0)) - _volume(np.maximum(hi - lo, 0))
+
+    enlarge(0)
+    enlarge(1)
     while rest:
         full = next((s for s in (0, 1) if held[s] >= n - least), None)
         if full is not None:
-            side[rest] = 1 - full
+            side[side < 0] = 1 - full
             break
-        idx = np.array(rest)
-        grown = np.array([volumes(np.minimum(box[s][0], lows[idx]), np.maximum(box[s][1], highs[idx])) - volumes(box[s][0], box[s][1]) for s in (0, 1)])
-        spatial = grown * np.array([inverse(float(g)) for g in grown.max(axis=0)])
-        textual = np.array([textual_costs(labels[i], seen, np.array(weight)) for i in rest]).T
+        top = np.maximum(grown[0], grown[1])
+        spatial = grown * np.divide(1.0, top, out=np.zeros(n), where=top > TINY)
+        if code is not None:  # an entry has one label: its cost is 1 as long as no half has the label
+            textual = np.where((seen.any(axis=0))[code], 1 - (seen[:, code] + totals) / (weight + totals), 1.0)
+        else:
+            each = 1 - (seen[:, :, None] + count) / (weight + totals)[:, None]
+            each[:, absent | ~seen.any(axis=0)[:, None]] = 1.0
+            textual = np.minimum(each.min(axis=1), 1.0)
         total = beta * spatial + (1 - beta) * textual
-        pick = int(np.argmax(np.abs(total[0] - total[1])))
-        s = 0 if total[0, pick] < total[1, pick] else 1
-        i = rest.pop(pick)
+        apart = np.abs(total[0] - total[1])
+        apart[side >= 0] = -1
+        i = int(np.argmax(apart))
+        s = 0 if total[0, i] < total[1, i] else 1
         side[i] = s
+        rest -= 1
         held[s] += 1
         weight[s] += totals[i]
-        box[s] = [np.minimum(box[s][0], lows[i]), np.maximum(box[s][1], highs[i])]
-        for k, v in labels[i].items():
-            seen[s][k] = seen[s].get(k, 0) + v
+        box_low[s], box_high[s] = np.minimum(box_low[s], low[:, i]), np.maximum(box_high[s], high[:, i])
+        enlarge(s)
+        if code is not None:
+            seen[s, code[i]] += totals[i]
+        else:
+            seen[s] += count[:, i]
     return side == 1
 
 
-@dataclass
 class Node:
-    leaf: bool
-    lows: list = field(default_factory=list)
-    highs: list = field(default_factory=list)
-    labels: list = field(default_factory=list)
-    items: list = field(default_factory=list)  # entry numbers, or Nodes
+    """Boxes of entries as planes of columns, one an entry. A leaf keeps its entries' labels as they are; a node above
+    counts them by label (a row) and child (a column), with each child's total and volume."""
+
+    def __init__(self, leaf: bool, room: int):
+        self.leaf, self.size = leaf, 0
+        self.low, self.high = np.zeros((3, room + 1)), np.zeros((3, room + 1))
+        self.items: list = []  # entry numbers, or Nodes
+        self.labels: list[dict[int, int]] = []  # of a leaf
+        if not leaf:
+            self.row: dict[int, int] = {}
+            self.count, self.total, self.volume = np.zeros((4, room + 1)), np.zeros(room + 1), np.zeros(room + 1)
 
     def box(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.min(self.lows, axis=0), np.max(self.highs, axis=0)
+        return self.low[:, : self.size].min(axis=1), self.high[:, : self.size].max(axis=1)
 
     def histogram(self) -> dict[int, int]:
         out: dict[int, int] = {}
-        for x in self.labels:
+        for x in self.histograms():
             for k, v in x.items():
                 out[k] = out.get(k, 0) + v
         return out
 
+    def histograms(self) -> list[dict[int, int]]:
+        """The labels of each entry."""
+        if self.leaf:
+            return self.labels
+        return [{k: int(c) for k, r in self.row.items() if (c := self.count[r, i])} for i in range(self.size)]
+
+    def row_of(self, label: int) -> int:
+        r = self.row.setdefault(label, len(self.row))
+        if r == len(self.count):
+            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+        return r
+
+    def put(self, at: int, low: np.ndarray, high: np.ndarray, labels: dict[int, int]) -> None:
+        """Box and labels of entry `at`, which may be a new one."""
+        self.low[:, at], self.high[:, at] = low, high
+        if self.leaf:
+            self.labels.append(labels)  # entries of a leaf never change
+            return
+        self.volume[at] = _volume(np.maximum(high - low, 0))
+        self.count[:, at] = 0
+        for k, v in labels.items():
+            r = self.row_of(k)  # first: it may make room
+            self.count[r, at] = v
+        self.total[at] = sum(labels.values())
+
+    def add(self, low: np.ndarray, high: np.ndarray, labels: dict[int, int], item) -> None:
+        self.put(self.size, low, high, labels)
+        self.items.append(item)
+        self.size += 1
+
+    def cheapest(self, low: np.ndarray, high: np.ndarray, labels: dict[int, int], beta: float) -> int:
+        """The child of least cost, grown by the entry: textual_costs(), spatial_costs() and choose() over the kept columns."""
+        n = self.size
+        lo, hi = np.minimum(self.low[:, :n], low[:, None]), np.maximum(self.high[:, :n], high[:, None])
+        size, total, volume = self.volume[:n], self.total[:n], _volume(np.maximum(hi - lo, 0))
+        grown = volume - size
+        textual, weight = 1.0, sum(labels.values())
+        for k, v in labels.items():
+            r = self.row.get(k)
+            if r is not None and (c := self.count[r, :n]).any():
+                textual = np.minimum(textual, 1 - (c + v) / (total + weight))
+        cost = beta * (grown * inverse(float(grown.max(initial=0)))) + (1 - beta) * textual
+        best = np.flatnonzero(cost == cost.min())
+        at = int(best[0] if len(best) == 1 else best[np.argmin(size[best])])
+        self.low[:, at], self.high[:, at], self.volume[at] = lo[:, at], hi[:, at], volume[at]
+        for k, v in labels.items():
+            r = self.row_of(k)
+            self.count[r, at] += v
+        self.total[at] += weight
+        return at
+
 
 @dataclass
 class Router:
@@ -137,7 +243,7 @@ class Router:
 
 class Tree:
     def __init__(self, leaf: int, internal: int, beta: float = 0.5, mode: str = "normal"):
-        self.leaf, self.internal, self.beta, self.root = leaf, internal, beta, Node(True)
+        self.leaf, self.internal, self.beta, self.root = leaf, internal, beta, Node(True, leaf)
         self.config, self.levels = IndexConfig(beta=beta, beta_mode=mode), 1
 
     def weight(self, level: int) -> float:
@@ -147,46 +253,31 @@ class Tree:
     def insert(self, item: int, low: np.ndarray, high: np.ndarray, labels: dict[int, int]) -> None:
         path, node = [], self.root
         while not node.leaf:
-            lows, highs = np.array(node.lows), np.array(node.highs)
-            totals = np.array([sum(x.values()) for x in node.labels], np.float64)
-            beta = self.weight(len(path))
-            cost = beta * spatial_costs(low, high, lows, highs) + (1 - beta) * textual_costs(labels, node.labels, totals)
-            at = choose(cost, volumes(lows, highs))
-            node.lows[at], node.highs[at] = np.minimum(lows[at], low), np.maximum(highs[at], high)
-            for k, v in labels.items():
-                node.labels[at][k] = node.labels[at].get(k, 0) + v
+            at = node.cheapest(low, high, labels, self.weight(len(path)))
             path.append((node, at))
             node = node.items[at]
-        self._add(node, low, high, dict(labels), item)
-        while len(node.items) > (self.leaf if node.leaf else self.internal):
+        node.add(low, high, dict(labels), item)
+        while node.size > (self.leaf if node.leaf else self.internal):
             new = self._split(node, len(path))
             if not path:
-                self.root, self.levels = Node(False), self.levels + 1
+                self.root, self.levels = Node(False, self.internal), self.levels + 1
                 for child in (node, new):
-                    self._add(self.root, *child.box(), child.histogram(), child)
+                    self.root.add(*child.box(), child.histogram(), child)
                 break
             parent, at = path.pop()
-            parent.lows[at], parent.highs[at] = node.box()
-            parent.labels[at] = node.histogram()
-            self._add(parent, *new.box(), new.histogram(), new)
+            parent.put(at, *node.box(), node.histogram())
+            parent.add(*new.box(), new.histogram(), new)
             node = parent
 
-    @staticmethod
-    def _add(node: Node, low: np.ndarray, high: np.ndarray, labels: dict, item) -> None:
-        node.lows.append(low)
-        node.highs.append(high)
-        node.labels.append(labels)
-        node.items.append(item)
-
     def _split(self, node: Node, level: int) -> Node:
         most = self.leaf if node.leaf else self.internal
-        right = split(np.array(node.lows), np.array(node.highs), node.labels, self.weight(level), -(-most // 3))
-        new = Node(node.leaf)
-        for name in ("lows", "highs", "labels", "items"):
-            own = getattr(node, name)
-            setattr(new, name, [x for x, r in zip(own, right, strict=True) if r])
-            setattr(node, name, [x for x, r in zip(own, right, strict=True) if not r])
-        return new
+        low, high, labels, items = node.low[:, : node.size].T.copy(), node.high[:, : node.size].T.copy(), node.histograms(), node.items
+        right = split(low, high, labels, self.weight(level), -(-most // 3))
+        halves = Node(node.leaf, most), Node(node.leaf, most)
+        for i, r in enumerate(right.tolist()):
+            halves[r].add(low[i], high[i], labels[i], items[i])
+        node.__dict__.update(halves[0].__dict__)  # the parent's entry stays this node
+        return halves[1]
 
     def leaves(self) -> list[Node]:
         out, todo = [], [self.root]
