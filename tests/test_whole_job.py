@@ -70,3 +70,26 @@ def test_descent_sees_every_trajectory_and_child(spark):
             parent = next(r["node_id"] for r in rows if r["chosen"])
             assert parent == nodes[N.choose(0.5 * spatial + 0.5 * textual, N.volumes(lows, highs))]
     assert len({k[0] for k in got}) == len(first) == len({r["trajectory_id"] for r in C.QUERIES["choose_child"](spark, SF).collect()})
+
+
+def test_descents_equal_sql_beyond_two_levels(spark, tmp_path):
+    """A tree of more than 256 leaves: the SQL takes the two lowest levels, the nodes of the upper one being the root's children."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    copies = spark.range(33).select(F.col("id").alias("k"))
+    events = events.crossJoin(copies).withColumns({"event_id": F.expr("event_id + k * 1000"), "user_id": F.expr("user_id + k * 15")}).drop("k")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("choose_child", "spatial_cost", "textual_cost", "cursor_children"):
+        got, want = C.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(C.ORACLE_SQL[name]).df()
+        rows = [sorted(map(tuple, df[sorted(want.columns)].values.tolist())) for df in (got, want)]
+        assert rows[0] == rows[1] and rows[0], name
+
+
+def test_descent_without_shipped_nodes(spark, monkeypatch):
+    want = {n: sorted(map(tuple, C.QUERIES[n](spark, SF).collect())) for n in ("choose_child", "spatial_cost", "textual_cost")}
+    monkeypatch.setattr(C, "SHIPPED", 0)
+    assert want == {n: sorted(map(tuple, C.QUERIES[n](spark, SF).collect())) for n in want}
