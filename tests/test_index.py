@@ -133,3 +133,17 @@ def test_points_meet_activities_of_their_time(spark):
 
 def test_quickload_leaves_grow_with_memory():
     assert L.quickload_leaves(0) == 2 and L.quickload_leaves(1 << 20) > L.quickload_leaves(1 << 16)
+
+
+def test_descent_by_arrays_joins_and_both(spark, unit, monkeypatch):
+    """The levels that go to tasks as arrays choose as the joins do; with all of them shipped no pair is shuffled."""
+    x = I.build(unit.where("t0 < 1705300000"), _config(beta=0.4))
+    probe = unit.where("t0 >= 1705300000").withColumn("label_id", F.when(F.col("unit_index") % 7 == 0, None).when(F.col("unit_index") % 5 == 0, 99).otherwise(F.col("label_id")))
+    got = []
+    for shipped in (10**6, 40, 0):
+        monkeypatch.setattr(I, "SHIPPED", shipped)
+        df = I.descend(x, probe)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert ("__children" in plan) == (shipped < 10**6) and ("MapInArrow" in plan) == (shipped > 0)
+        got.append(sorted((r["trajectory_id"], r["unit_index"], r["leaf_id"]) for r in df.collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == probe.count()
