@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strail.functions.geometry import Box, segment_hits
+from strail.operators.stored import keep
 from strail.schema import MAX_FLOAT, MAX_TIME, UNITS
 
 
 GATHERED = 1_000_000  # matching units of a trajectory that one row may hold
+BITS = 62  # steps of a mask
 
 
 @dataclass(frozen=True)
@@ -85,57 +87,80 @@ def find(units: DataFrame, steps: list[SimpleQuery]) -> DataFrame:
     mask = F.lit(0).cast("long")
     for i, s in enumerate(steps):
         mask = mask + F.when(s.predicate(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    hit = units.withColumn("mask", mask).where("mask <> 0")
+    return _gathered(units.withColumn("mask", mask).where("mask <> 0"), len(steps))
+
+
+def _gathered(hit: DataFrame, n: int) -> DataFrame:
+    """The rows of find() of units with the mask of their n steps, two or more."""
+    fields = [f for f in UNITS.fieldNames() if f != "trajectory_id"]
     rows = hit.groupBy("trajectory_id").agg(F.expr("bit_or(mask)").alias("any"), F.collect_list(F.struct("unit_index", *fields[1:], "mask")).alias("units"))
-    rows = rows.where(F.col("any") == (1 << len(steps)) - 1)
+    rows = rows.where(F.col("any") == (1 << n) - 1)
     least = "array_min(transform(filter(units, u -> {}), u -> u.unit_index))"
     first, later = least.format("(u.mask & 1L) <> 0"), least.format("(u.mask & shiftleft(1L, i)) <> 0 and u.unit_index >= element_at(acc, -1)")
-    marks = F.expr(f"aggregate(sequence(1, {len(steps) - 1}), cast(array({first}) as array<bigint>), (acc, i) -> concat(acc, array({later})))")
+    marks = F.expr(f"aggregate(sequence(1, {n - 1}), cast(array({first}) as array<bigint>), (acc, i) -> concat(acc, array({later})))")
     out = rows.select("trajectory_id", "units", marks.alias("marks")).where("element_at(marks, -1) is not null").select("trajectory_id", "marks", F.explode("units").alias("u"))
     step = F.expr("size(filter(marks, m -> m <= u.unit_index)) - 1")  # the last step that begins at or before the unit
     out = out.withColumn("step", step).where("step >= 0 and (u.mask & shiftleft(1L, step)) <> 0")
     return out.select("trajectory_id", "u.unit_index", *[f"u.{f}" for f in fields[1:]], "step")
 
 
+def _masked(units: DataFrame, steps: list[SimpleQuery]) -> DataFrame:
+    """The units of any step, with bit masks of their steps (`mask`, and one more for each BITS further steps); kept, as the joins
+    read them once for each step."""
+    masks = {}
+    for k in range(0, len(steps), BITS):
+        mask = F.lit(0).cast("long")
+        for i, s in enumerate(steps[k : k + BITS]):
+            mask = mask + F.when(s.predicate(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+        masks[_mask(k)] = mask
+    return keep(units.select(*UNITS.fieldNames()).withColumns(masks).where(" or ".join(f"{m} <> 0" for m in masks)))
+
+
+def _mask(step: int) -> str:
+    return f"mask{step // BITS}" if step >= BITS else "mask"
+
+
 def find_by_joins(units: DataFrame, steps: list[SimpleQuery]) -> DataFrame:
-    """As find(), without gathering a trajectory's matches: for trajectories of any length, at n - 1 more joins.
+    """As find(), without gathering a trajectory's matches: for trajectories of any length, at n more joins.
 
-    Each m_i is an aggregate; trajectories are reduced by each step before the next one is looked at.
+    Each m_i is an aggregate; trajectories are reduced by each step before the next one is looked at. Units are read once,
+    those of no step are dropped, and one join with all m_i gives the rows, as the ranges of the steps are disjoint.
     """
-    fields = [f for f in UNITS.fieldNames() if f != "trajectory_id"]
     if not steps:
         return find(units, steps)
-    hits = [units.where(s.predicate()) for s in steps]
-    marks = hits[0].groupBy("trajectory_id").agg(F.min("unit_index").alias("m0"))
-    for i in range(1, len(steps)):
-        joined = hits[i].select("trajectory_id", "unit_index").join(marks, "trajectory_id").where(F.col("unit_index") >= F.col(f"m{i - 1}"))
-        marks = joined.groupBy("trajectory_id", *[f"m{k}" for k in range(i)]).agg(F.min("unit_index").alias(f"m{i}"))
-    out = None
-    for i, h in enumerate(hits):
-        part = h.join(marks, "trajectory_id").where(F.col("unit_index") >= F.col(f"m{i}"))
-        if i + 1 < len(steps):
-            part = part.where(F.col("unit_index") < F.col(f"m{i + 1}"))
-        part = part.select("trajectory_id", *fields, F.lit(i).alias("step"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _joined(_masked(units, steps), len(steps))
+
+
+def _joined(hits: DataFrame, n: int) -> DataFrame:
+    """The rows of find_by_joins() of units with the mask of their steps."""
+    own = lambda i: F.col(_mask(i)).bitwiseAND(F.lit(1 << i % BITS).cast("long")) != 0
+    marks = hits.where(own(0)).groupBy("trajectory_id").agg(F.min("unit_index").alias("m0"))
+    for i in range(1, n):
+        joined = hits.where(own(i)).select("trajectory_id", "unit_index").join(marks, "trajectory_id").where(F.col("unit_index") >= F.col(f"m{i - 1}"))
+        marks = keep(joined.groupBy("trajectory_id", *[f"m{k}" for k in range(i)]).agg(F.min("unit_index").alias(f"m{i}")))  # a row a trajectory
+    step = F.when(F.lit(False), F.lit(0))
+    for i in range(n):
+        inside = own(i) & (F.col("unit_index") >= F.col(f"m{i}"))
+        step = step.when(inside & (F.col("unit_index") < F.col(f"m{i + 1}")) if i + 1 < n else inside, F.lit(i))
+    out = hits.join(marks, "trajectory_id").withColumn("step", step).where("step is not null")
+    return out.select(*UNITS.fieldNames(), "step")
 
 
 def find_any(units: DataFrame, steps: list[SimpleQuery], most: int = GATHERED) -> DataFrame:
     """find() for trajectories with at most `most` matching units, find_by_joins() for the longer ones; one more count before.
 
-    There are at most as many longer trajectories as matches by `most`, so their ids are a short list.
+    Units are read once. The longer trajectories stay a table, however many there are.
     """
     if len(steps) < 2:
         return find(units, steps)
-    hit = F.lit(False)
-    for s in steps:
-        hit = hit | F.coalesce(s.predicate(), F.lit(False))
-    n = units.where(hit).groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n"))
-    long = [r["trajectory_id"] for r in n.where(F.col("n") > most).select("trajectory_id").collect()]
-    if not long:
-        return find(units, steps)
-    own = F.col("trajectory_id").isin(long)
-    return find(units.where(~own), steps).unionByName(find_by_joins(units.where(own), steps))
+    if len(steps) > 62:
+        raise ValueError("a query has at most 62 steps")
+    hits = _masked(units, steps)
+    long = keep(hits.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("trajectory_id"))
+    if long.isEmpty():
+        return _gathered(hits, len(steps))
+    short, rest = hits.join(long, "trajectory_id", "left_anti"), keep(hits.join(long, "trajectory_id", "left_semi"))
+    return _gathered(short, len(steps)).unionByName(_joined(rest, len(steps)))
 
 
 def counts(matches: DataFrame) -> DataFrame:

@@ -87,6 +87,32 @@ def test_find_equals_brute_force_and_joins(spark):
             assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_joins_read_units_once(spark, monkeypatch):
+    """However many steps there are, and also where some trajectories are gathered and others joined; more steps than a mask has bits."""
+    rng, rows = random.Random(6), []
+    for t in range(50):
+        for i in range(rng.randint(1, 25)):
+            rows.append((t, i, float(rng.randint(0, 9)), 0.0, 0, 0.0, 0.0, 0, rng.randint(1, 4)))
+    df, read = spark.createDataFrame(rows, SCHEMA), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    counted = df.mapInArrow(count, SCHEMA)
+    box = Box(-1, -1, 0, 99, 99, 9)
+    labels = [{1, 2}, {2, 3}, {3}]
+    steps = [Q.SimpleQuery(box, frozenset(x)) for x in labels]
+    want = _greedy(rows, [(lambda r, x=x: r[8] in x) for x in labels])
+    for run in (Q.find_by_joins, lambda u, s: Q.find_any(u, s, 4), lambda u, s: Q.find_any(u, s, 1000)):
+        before = read.value
+        got = [(r["trajectory_id"], r["unit_index"]) for r in run(counted, steps).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and read.value - before == len(rows)
+    monkeypatch.setattr(Q, "BITS", 2)
+    assert {(r["trajectory_id"], r["unit_index"]) for r in Q.find_by_joins(df, steps).collect()} == want
+
+
 def test_parser():
     q = Q.parse_query(["0, 20, MIN,MAX, 5,MAX", "1,2,3,4,5,6"], ["1, 2", ""])
     assert q[0].labels == {1, 2} and q[0].box.xmax == 20 and q[0].box.tmin == 5 and q[0].box.tmax == 2**32 - 1
