@@ -32,6 +32,70 @@ def ids_to_intervals(rows: DataFrame, keys: list[str], capacity: int, id_col: st
     return trim_intervals(distinct, keys, capacity)
 
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an Arrow list column one behind the other, and where each list begins; a null is an empty list."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(values, np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _per_batch(df: DataFrame, column: str, kind: str, made) -> DataFrame:
+    """df with the lists of a column replaced by what `made` makes of a batch of them: row by row, so without a shuffle."""
+    import pyarrow as pa
+
+    at = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = made(columns[at])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {kind if c == column else t}" for c, t in df.dtypes))
+
+
+def lists_to_intervals(df: DataFrame, column: str, capacity: int) -> DataFrame:
+    """df with each ascending list of distinct ids as at most `capacity` intervals: those of trim_intervals(), list by list."""
+
+    def made(lists):
+        import pyarrow as pa
+
+        ids, starts = _lists(lists)
+        cut = np.ones(len(ids), bool)  # whether an interval begins here
+        for i in np.flatnonzero(np.diff(starts) > capacity):
+            a, b = starts[i], starts[i + 1]
+            cut[a + 1 : b] = False
+            cut[a + 1 + np.argsort(ids[a : b - 1] - ids[a + 1 : b], kind="stable")[: capacity - 1]] = True  # of equal gaps the earlier
+        begin = np.flatnonzero(cut)
+        end = np.append(begin[1:], len(ids)) - 1
+        offsets = np.searchsorted(begin, starts)
+        spans = pa.StructArray.from_arrays([pa.array(ids[begin]), pa.array(ids[end])], names=["begin", "end"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+
+    return _per_batch(df, column, INTERVALS, made)
+
+
+def lists_to_blooms(df: DataFrame, column: str, bits: int) -> DataFrame:
+    """df with each list of ids as a Bloom filter: the words of bloom_filters(), list by list."""
+
+    def made(lists):
+        import pyarrow as pa
+
+        ids, starts = _lists(lists)
+        p = bloom_positions(ids, bits)
+        words = -(-bits // 64)
+        key = (np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:, None] * words + p // 64).ravel()
+        bit = (np.uint64(1) << (p % 64).astype(np.uint64)).ravel()
+        order = np.argsort(key, kind="stable")
+        key, bit = key[order], bit[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        either = np.bitwise_or.reduceat(bit, first) if len(key) else bit
+        offsets = np.searchsorted(key[first], np.arange(len(starts)) * words)
+        return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[first] % words), pa.array(either.view(np.int64)))
+
+    return _per_batch(df, column, "map<bigint, bigint>", made)
+
+
 def union_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The union of all intervals of a group: touching ones merge."""
     by = Window.partitionBy(*keys).orderBy("begin", "end")

@@ -122,3 +122,17 @@ def test_union_measure():
         high = low + rng.integers(0, 4, (8, 3))
         cells = {c for a, b in zip(low, high, strict=True) for c in itertools.product(*(range(x, y) for x, y in zip(a, b, strict=True)))}
         assert union_measure(low, high) == len(cells)
+
+
+def test_lists_to_intervals_and_blooms_without_a_shuffle(spark):
+    """As the windows and the word-wise unions give them, list by list."""
+    rng = random.Random(9)
+    lists = [(k, sorted(rng.sample(range(-500, 500), rng.choice([1, 2, 4, 5, 6, 30, 200])))) for k in range(80)] + [(80, []), (81, None), (82, list(range(0, 60, 3)))]
+    df = spark.createDataFrame(lists, "k long, ids array<long>").repartition(3)
+    spans, blooms = S.lists_to_intervals(df, "ids", 5), S.lists_to_blooms(df, "ids", 320)
+    assert "Exchange hashpartitioning" not in (spans._jdf.queryExecution().executedPlan().toString() + blooms._jdf.queryExecution().executedPlan().toString())
+    got = {r["k"]: [(i["begin"], i["end"]) for i in r["ids"]] for r in spans.collect()}
+    assert got == {k: S.IntervalSet([(i, i) for i in ids or []]).trimmed(5) for k, ids in lists}
+    words = {r["k"]: r["ids"] for r in blooms.collect()}
+    rows = df.select("k", F.explode("ids").alias("id"))
+    assert {k: w for k, w in words.items() if w} == {r["k"]: r["filter"] for r in S.bloom_filters(rows, ["k"], 320).collect()} and words[80] == words[81] == {}
