@@ -100,7 +100,7 @@ class Search:
 
 def _shared_spans(cand: DataFrame, n: int, capacity: int) -> list[tuple[int, int]]:
     """At most capacity intervals for each step, and what all steps have in common: bounded by n * capacity."""
-    rows = cand.select("step", F.explode("ids").alias("i")).select("step", "i.begin", "i.end")
+    rows = cand.select("step", F.explode("ids").alias("i")).select("step", "i.begin", "i.end").distinct()  # many nodes have the same ids
     spans = trim_intervals(union_intervals(rows, ["step"]), ["step"], capacity)
     both = intersect_intervals(spans.select(F.lit(1).alias("k"), "begin", "end"), ["k"], n)
     return sorted((r["begin"], r["end"]) for r in both.collect())
@@ -221,10 +221,8 @@ def find_pruned(index: Index, steps: list[SimpleQuery], monotone: bool = False)
     else:
         units = index.units.join(found.leaves.select(F.col("node_id").alias("leaf_id")).distinct(), "leaf_id", "left_semi")
     if found.spans is not None:
-        own = F.lit(False)
-        for b, e in found.spans:
-            own = own | F.col("trajectory_id").between(b, e)
-        units = units.where(own)
+        spans = units.sparkSession.createDataFrame(found.spans, "begin long, end long")  # so many as a step's sets have, at most
+        units = units.join(F.broadcast(spans), F.col("trajectory_id").between(F.col("begin"), F.col("end")), "left_semi")
     elif index.config.id_set == "exact":
         units = units.join(shared_ids(index, steps), "trajectory_id", "left_semi")
     return find(units, steps) if index.size <= GATHERED else find_any(units, steps)

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +89,14 @@ def find(units: DataFrame, steps: list[SimpleQuery]) -> DataFrame:
     mask = F.lit(0).cast("long")
     for i, s in enumerate(steps):
         mask = mask + F.when(s.predicate(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return _gathered(units.withColumn("mask", mask).where("mask <> 0"), len(steps))
+    return _gathered(_hit(units, {"mask": mask}), len(steps))
+
+
+def _hit(units: DataFrame, masks: dict[str, Column]) -> DataFrame:
+    """units of any step, with the masks. A generator drops the others: a filter would be pushed below the masks, so that each
+    is computed twice by one method, which is then too large (8,000 bytes) to be compiled and takes 20 times as long."""
+    some = reduce(or_, [F.col(m) != 0 for m in masks])
+    return units.withColumns(masks).withColumn("__some", F.explode(F.array_remove(F.array(some), F.lit(False)))).drop("__some")
 
 
 def _gathered(hit: DataFrame, n: int) -> DataFrame:
@@ -113,7 +122,7 @@ def _masked(units: DataFrame, steps: list[SimpleQuery]) -> DataFrame:
         for i, s in enumerate(steps[k : k + BITS]):
             mask = mask + F.when(s.predicate(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
         masks[_mask(k)] = mask
-    return keep(units.select(*UNITS.fieldNames()).withColumns(masks).where(" or ".join(f"{m} <> 0" for m in masks)))
+    return keep(_hit(units.select(*UNITS.fieldNames()), masks))
 
 
 def _mask(step: int) -> str:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strail.functions.geometry import Box
 from strail.operators import index as I
@@ -167,3 +168,20 @@ def test_far_and_near_child():
     lows, highs = np.array([[0.0, 0, 0], [90, 90, 90]]), np.array([[10.0, 10, 10], [110, 110, 130]])
     for box, want in ((((95, 103, 100), (104, 109, 125)), 1), (((0, 0, 3), (5, 4, 10)), 0)):
         assert choose(spatial_costs(np.array(box[0], float), np.array(box[1], float), lows, highs), volumes(lows, highs)) == want
+
+
+def test_steps_are_masked_once(spark):
+    """The mask of all steps stands in the plan once: no filter repeats it, and the scan's method stays small enough to be compiled."""
+    df = spark.range(100).select("id", *[F.col("id").cast(t).alias(c) for c, t in (("trajectory_id", "long"), ("unit_index", "long"), ("x0", "float"), ("y0", "float"), ("t0", "long"), ("x1", "float"), ("y1", "float"), ("t1", "long"), ("label_id", "long"))])
+    hit = Q._hit(df.drop("id"), {"mask": F.when(Q.SimpleQuery(Box(1, 1, 1, 5, 5, 5)).predicate(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))})
+    assert [r["mask"] for r in hit.collect()] == [1] * 5
+    for x in (hit, Q.find(df, [Q.SimpleQuery(Box(1, 1, 1, 5, 5, 5))] * 2)):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CASE WHEN") <= 2 and "Filter" not in plan.split("CASE WHEN")[0].split("Generate explode(array_remove")[-1]
+
+
+def test_a_standing_segment_meets_what_holds_it(spark):
+    rows = [(1, i, x, 2.0, 3, x2, 2.0, 3, 1) for i, (x, x2) in enumerate([(1.0, 1.0), (5.0, 5.0), (0.0, 9.0), (None, 2.0), (float("nan"), 2.0)])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = lambda *box: [r["unit_index"] for r in Q.ordered(Q.simple(df, Q.SimpleQuery(Box(*box)))).collect()]
+    assert got(1, 2, 3, 4, 2, 3) == [0, 2, 3] and got(1, 2.5, 3, 4, 9, 3) == [] and got(5, 2, 3, 5, 2, 3) == [1, 2]
